@@ -2,8 +2,9 @@
 
 Nodes carry a signature of K four-bit symbols, packed sixteen to a long.  Two nodes that share a key are
 candidates; a candidate pair counts as a link once its full sets confirm the similarity.  No step emits all
-pairs of a group: a group is compared with its smallest member, and only nodes that this leaves outside their
-family's main component are compared with the rest, inside a join that returns confirmed links alone.
+pairs of a group: a group is compared with its smallest member, what is far from that with some more members.
+Only nodes that this leaves outside their family's main component are compared with the rest of the family,
+inside a join that returns confirmed links alone.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-#: Largest rest of a key's group that is compared pair by pair, and members a task compares with outsiders.
-SMALL_GROUP, SLICE = 48, 2000
+#: Members of a family that a task compares with its outsiders.
+SLICE = 2000
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -80,25 +81,31 @@ def near_components(
     nodes: (node, n, q); keys: (key, node); sets_of(df of node) gives (node, items).  A link is a pair that
     shares a key, differs in at most `most` symbols and is `percent` similar by its full sets.
     """
-    stars, rest = [], keys
-    while True:
-        many = rest.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("size")).filter("a < z")
-        joined = rest.withColumnRenamed("node", "b").join(many, "key")
-        if not stars:
-            pairs = joined.filter("a < b").select("key", "a", "b", F.lit(False).alias("done"))
-        else:
-            led = joined.filter((F.col("a") < F.col("b")) & (F.col("size") > SMALL_GROUP)).select("key", "a", "b", F.lit(False).alias("done"))
-            few = joined.filter(F.col("size") <= SMALL_GROUP).select("key", "b")
-            pairs = led.unionByName(few.select("key", F.col("b").alias("a")).join(few, "key").filter("a < b").select("key", "a", "b", F.lit(True).alias("done")))
-        pairs = scratch.table(pairs.distinct())
-        left, right = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("q").alias("qa")), nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("q").alias("qb"))
-        apart = pairs.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "na", "nb", distance(F.col("qa"), F.col("qb"), longs).alias("d"))
-        stars.append(apart := scratch.table(apart))
-        rest = scratch.table(pairs.filter("not done").join(apart.filter(F.col("d") > most), ["a", "b"]).select("key", F.col("b").alias("node")))
-        if rest.isEmpty():
-            break
-    related = reduce(DataFrame.unionByName, stars).filter(F.col("d") <= 2 * most)
-    stars = scratch.table(related.dropDuplicates(["a", "b"]))
+    def described(df: DataFrame, side: str) -> DataFrame:
+        return df.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("q").alias(f"q{side}")), side)
+
+    apart = distance(F.col("qa"), F.col("qb"), longs)
+    # First, every group's nodes against its smallest.
+    low = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("high")).filter("a < high").select("key", "a")
+    pairs = scratch.table(keys.withColumnRenamed("node", "b").join(low, "key").filter("a < b"))
+    first = described(described(pairs.select("a", "b").distinct(), "a"), "b").select("a", "b", apart.alias("d"))
+    first = scratch.table(first.filter(F.col("d") <= 2 * most))
+    # Then what is far from it against about the square root of its number.  A pair (a, b) with at most `most`
+    # differences of which a has left, being near a leader, is still related through that leader: b is within 2 * most.
+    rest = pairs.join(first.filter(F.col("d") <= most), ["a", "b"], "left_anti").select("key", F.col("b").alias("node"))
+    many = rest.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    rest = scratch.table(rest.join(many, "key").select("key", F.col("node").alias("b"), (F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.sqrt("size"))) == 0).alias("leads")))
+    rest = scratch.table(described(rest, "b"))
+    lead = rest.filter("leads").select(F.col("key").alias("k"), *(F.col(f"{c}b").alias(f"{c}a") for c in ("", "n", "q")))
+    second = rest.join(lead, (F.col("key") == F.col("k")) & (F.col("a") != F.col("b")) & (apart <= 2 * most)).select("key", "a", "b", apart.alias("d"))
+    second = scratch.table(second)
+    # At last the pairs of what no leader is near to.
+    rest = rest.filter("not leads").join(second.filter(F.col("d") <= most).select("key", "b").distinct(), ["key", "b"], "left_anti").drop("leads")
+    rest = scratch.table(rest)
+    other = rest.select(F.col("key").alias("k"), *(F.col(f"{c}b").alias(f"{c}a") for c in ("", "n", "q")))
+    third = rest.join(other, (F.col("key") == F.col("k")) & (F.col("a") < F.col("b")) & (apart <= most)).select("a", "b", apart.alias("d"))
+    stars = first.unionByName(second.select("a", "b", "d")).unionByName(third).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d")
+    stars = scratch.table(described(described(stars.dropDuplicates(["a", "b"]), "a"), "b").select("a", "b", "d", "na", "nb"))
     wanted = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
     sets = scratch.table(sets_of(wanted))
 
