@@ -5,12 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pack import pack
+
+    return pack(_read(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .matroska import stored_media
+
+    return stored_media(_read(spark, sf_dir, "documents")).drop("media")
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fold, identify
+
+    docs = _read(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out")
+    found = identify(spark, docs, fold(3) != 1, ["doc_id"])
+    return found.select("doc_id", held_out, "lang_pred", "score", "cosine")
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
