@@ -12,12 +12,25 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(_read(spark, sf_dir, "pages"))
+
+
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pack import pack
 
     return pack(_read(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    found = judge(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
 def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .matroska import stored_media
 

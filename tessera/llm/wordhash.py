@@ -1,7 +1,7 @@
 """Word and shingle hashing over whole Arrow batches, with numpy and without a loop over words.
 
-A word is a maximal run of bytes other than 0x20 and 0x09-0x0D; A-Z count as a-z.  Both rules work on
-UTF-8 bytes as they do on code points, because every byte of a longer sequence is above 0x7F.
+A word is a maximal run of bytes other than 0x20 and 0x09-0x0D; A-Z count as a-z where asked.  Both rules work
+on UTF-8 bytes as they do on code points, because every byte of a longer sequence is above 0x7F.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C55)
 _INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
 _LETTER = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, dtype=np.uint64) | U64(1)
-_LETTER[65:91] = _LETTER[97:123]
+_FOLDED = _LETTER.copy()
+_FOLDED[65:91] = _LETTER[97:123]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: list[np.ndarray] = []
@@ -75,11 +76,11 @@ def words(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, bounds)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64 bits of each word, from a polynomial's prefix sums."""
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """64 bits of each word, from a polynomial's prefix sums; fold: A-Z count as a-z."""
     power, inverse = powers(len(raw))
     total = np.zeros(len(raw) + 1, U64)
-    np.cumsum(_LETTER[raw] * power[: len(raw)], out=total[1:])
+    np.cumsum((_FOLDED if fold else _LETTER)[raw] * power[: len(raw)], out=total[1:])
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
