@@ -31,6 +31,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
+def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mix import Mix
+
+    return Mix(spark, _read(spark, sf_dir, "documents")).taken()
+
+
 def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .matroska import stored_media
 
@@ -46,6 +52,13 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out, "lang_pred", "score", "cosine")
 
 
+def op8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fold
+    from .lattice import score
+
+    return score(spark, _read(spark, sf_dir, "documents"), fold(7) != 2)
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
