@@ -17,8 +17,8 @@ from .wordhash import U64, mix
 
 #: Longest piece that is looked up, in code points; text bytes of a chunk of documents that share a table of words.
 LONGEST, CHUNK = 16, 16_000_000
-#: Added to each piece's expected count, so that no piece of the vocabulary is impossible.
-SMOOTH = 0.1
+#: Added to each piece's expected count, so that no piece of the vocabulary is impossible; steps of re-estimation.
+SMOOTH, STEPS = 3.0, 3
 END = b"\n"  # the end token; no word holds a line feed
 
 
@@ -182,25 +182,35 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), chunk, np.int64)), pa.array(some, pa.binary()), pa.array([counts[w] for w in some], pa.int64())], names=["chunk", "word", "c"])
 
 
-def _expect(model: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _expect(model: str, log: np.ndarray, share: float, n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Expected uses of pieces, and under -1 of whole-word arcs.  A word's own use isn't evidence for its arc."""
     made = lattice(model)
-    total = np.zeros(len(made.weights))
+    total, whole = np.zeros(len(log)), 0.0
     for batch in batches:
         c = batch["c"].to_numpy().astype(float)
         for points, places in by_length(batch["word"].to_pylist()):
-            total += made.expected(points, c[places], made.weights)
+            spelled = made.forward(points, log, made.arcs(points))[:, -1]
+            with np.errstate(divide="ignore"):
+                arc = np.log(share * (c[places] - 1) / max(n - 1, 1))
+            part = np.exp(arc - np.logaddexp(arc, np.log1p(-share) + spelled))
+            whole += float((c[places] * part).sum())
+            total += made.expected(points, c[places] * (1 - part), log)
     used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["piece", "uses"])
+    yield pa.RecordBatch.from_arrays([pa.array([-1, *used.tolist()]), pa.array([whole, *total[used].tolist()])], names=["piece", "uses"])
 
 
-def _weigh(model: str, log: np.ndarray, end: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _weigh(model: str, log: np.ndarray, share: float, n: int, stop: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """log10 of each word's probability: its whole-word arc, if training texts have the word, and all its segmentations."""
     made = lattice(model)
     for batch in batches:
-        words = batch["word"].to_pylist()
+        words, c = batch["word"].to_pylist(), batch["c"].to_numpy()
         out = np.zeros(len(words))
         for points, places in by_length(words):
-            out[places] = made.forward(points, log, made.arcs(points))[:, -1]
-        out[[k for k, w in enumerate(words) if w == END]] = end
+            spelled = made.forward(points, log, made.arcs(points))[:, -1]
+            with np.errstate(divide="ignore"):
+                arc = np.log(share * c[places] / max(n, 1))
+            out[places] = np.logaddexp(arc, np.log1p(-share) + spelled) + np.log1p(-stop)
+        out[[k for k, w in enumerate(words) if w == END]] = np.log(stop)
         yield pa.RecordBatch.from_arrays([batch["word"], batch["c"], pa.array(out / np.log(10))], names=["word", "c", "lp"])
 
 
@@ -223,7 +233,8 @@ def score(spark: SparkSession, docs: DataFrame, trains: Column, model: str = "pi
 
     docs has doc_id and text; other columns are ignored.  The text's probability is the product over its words of the
     summed probability of all segmentations into pieces (pieces don't cross words), times the end's.  The vocabulary and
-    its first weights are the model file's; one expectation step over all training words re-estimates the weights.
+    its first weights are the model file's; a word of the training texts has one more arc, over all of it.  STEPS
+    expectation steps over all training words re-estimate the pieces' weights and the share of whole-word arcs.
     Rows with `trains` false or null are held out.  A null or empty text is the end alone.  Words meet their counts by
     chunk: documents are dealt by a hash into chunks of about CHUNK bytes, and a chunk's distinct words are joined with
     the corpus table once.  Repeated rows give repeated results; no rows, no result rows.
@@ -238,16 +249,21 @@ def score(spark: SparkSession, docs: DataFrame, trains: Column, model: str = "pi
     words = scratch.table(local.groupBy("word").agg(F.sum("c").alias("c")))
     known = words.filter("c > 0")
     n, v, ends = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("c"))), F.lit(0))).first()
-    uses = known.filter(F.col("word") != F.lit(END)).mapInArrow(partial(_expect, model), "piece long, uses double")
-    size = len(vocabulary(model)[1])
-    expected = np.full(size, SMOOTH)
-    for r in uses.groupBy("piece").agg(F.sum("uses").alias("uses")).collect():  # as many rows as the vocabulary at most
-        expected[r["piece"]] += r["uses"]
+    spelled = known.filter(F.col("word") != F.lit(END))
     # Words end by chance: after each word the text goes on or ends, in the shares of the training texts.
-    stop = (ends + 1) / (n + 2)
-    log = np.round(np.log(expected / expected.sum()), 9)
-    weighed = words.mapInArrow(partial(_weigh, model, log, float(np.log(stop))), "word binary, c long, lp double")
-    table = local.select("chunk", "word").join(weighed, "word").select("chunk", "word", "c", F.when(F.col("word") == F.lit(END), F.col("lp")).otherwise(F.col("lp") + F.lit(float(np.log10(1 - stop)))).alias("lp"))
+    stop, running = (ends + 1) / (n + 2), int(n - ends)
+    log, share = vocabulary(model)[1], 0.5
+    for _ in range(STEPS if running else 0):
+        uses = spelled.mapInArrow(partial(_expect, model, log, share, running), "piece long, uses double")
+        expected = np.full(len(log), SMOOTH)
+        for r in uses.groupBy("piece").agg(F.sum("uses").alias("uses")).collect():  # as many rows as the vocabulary at most
+            if r["piece"] < 0:
+                share = min(max(round(r["uses"] / running, 9), 1e-6), 1 - 1e-6)
+            else:
+                expected[r["piece"]] += r["uses"]
+        log = np.round(np.log(expected / expected.sum()), 9)
+    weighed = words.mapInArrow(partial(_weigh, model, log, share, running, float(stop)), "word binary, c long, lp double")
+    table = local.select("chunk", "word").join(weighed, "word").select("chunk", "word", "c", "lp")
     marked = given.select("chunk", "doc_id", "text", (~F.col("trains")).alias("held_out"))
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
