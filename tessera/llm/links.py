@@ -78,7 +78,7 @@ def near_components(
 ) -> DataFrame:
     """Components (node, comp) of the nodes that have a link.
 
-    nodes: (node, n, q); keys: (key, node); sets_of(df of node) gives (node, items).  A link is a pair that
+    nodes: (node, n, q); keys: (key, node), both with or without repeats; sets_of(df of node) gives (node, items).  A link is a pair that
     shares a key, differs in at most `most` symbols and is `percent` similar by its full sets.
     """
     def described(df: DataFrame, side: str) -> DataFrame:
@@ -87,7 +87,9 @@ def near_components(
     apart = distance(F.col("qa"), F.col("qb"), longs)
     # First, every group's nodes against its smallest.
     low = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("high")).filter("a < high").select("key", "a")
-    pairs = scratch.table(keys.withColumnRenamed("node", "b").join(low, "key").filter("a < b"))
+    pairs = scratch.table(keys.withColumnRenamed("node", "b").join(low, "key").filter("a < b").distinct())
+    met = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    nodes = scratch.table(nodes.join(met, "node", "left_semi").dropDuplicates(["node"]))
     first = described(described(pairs.select("a", "b").distinct(), "a"), "b").select("a", "b", apart.alias("d"))
     first = scratch.table(first.filter(F.col("d") <= 2 * most))
     # Then what is far from it against about the square root of its number.  A pair (a, b) with at most `most`

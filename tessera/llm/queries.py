@@ -37,6 +37,12 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mix(spark, _read(spark, sf_dir, "documents")).taken()
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    return dedup_lines(spark, _read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_kept", "text")
+
+
 def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .matroska import stored_media
 
@@ -65,10 +71,18 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, _read(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_chats
+
+    return format_chats(spark, _read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [value for name, value in globals().items() if name.startswith("op") and callable(value)]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .chat import ORACLE
+
+    return {"op10_chat": ORACLE}
