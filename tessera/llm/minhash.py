@@ -7,7 +7,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .links import near_components
@@ -101,12 +101,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
 
     docs has doc_id and text; other columns are ignored.  Words are runs of bytes other than white space, A-Z
     count as a-z.  Returns for each row doc_id, n_shingles, component_id (the smallest doc_id reachable) and
-    kept (doc_id = component_id).  A null, empty or blank text has no shingles and no links; a text of fewer than
+    kept (doc_id = component_id), with row (a hash of doc_id and text) and group (null without shingles).  A null, empty or blank text has no shingles and no links; a text of fewer than
     `width` words is one shingle.  Rows with equal doc_id each get a row; a row with a null doc_id takes part,
     its component_id is null only if no reachable row has a doc_id, and it is never kept.  No rows, no result rows.
     """
     scratch = Scratch(spark, "near-duplicates")
-    given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("doc_id", "text").alias("uid"))
+    given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("uid"))
     rows = scratch.table(given.mapInArrow(partial(_features, width), "doc_id long, uid long, n long, node long, signature binary"))
     first = rows.filter("n > 0").groupBy("node").agg(F.min("uid").alias("uid"))
     nodes = scratch.table(rows.filter("n > 0").join(first, ["node", "uid"]).dropDuplicates(["node"]))
@@ -120,8 +120,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
 
     comps = near_components(quads, keys, sets_of, percent=percent, longs=SYMBOLS // 16, most=MOST, scratch=scratch)
     # Texts without shingles stay alone: their own row is their component.
-    placed = rows.filter("n > 0").join(comps, "node", "left").select("doc_id", "n", F.coalesce("comp", "node").alias("comp"))
+    placed = rows.filter("n > 0").join(comps, "node", "left").select("doc_id", "uid", "n", F.coalesce("comp", "node").alias("comp"))
     least = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    linked = placed.join(least, "comp").select("doc_id", "n", "component_id")
-    result = linked.unionByName(rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
-    return result.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    linked = placed.join(least, "comp").select("doc_id", "n", "component_id", "uid", "comp")
+    alone = rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "uid", F.lit(None).cast("long").alias("comp"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")
+    return linked.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept, F.col("uid").alias("row"), F.col("comp").alias("group"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each group of near-duplicates, that of the smallest doc_id; texts without words all stay."""
+    found = near_duplicates(spark, docs, width, percent)
+    last = F.lit((1 << 63) - 1)
+    first = found.filter("group is not null").groupBy("group").agg(F.min(F.struct(F.coalesce("doc_id", last), "row")).alias("first")).select("first.row", F.lit(True).alias("__grouped"))
+    alone = found.filter("group is null").select("row", F.lit(False).alias("__grouped")).distinct()
+    stays = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(first.unionByName(alone).withColumnRenamed("row", "__row"), "__row")
+    number = F.row_number().over(Window.partitionBy("__row").orderBy("__grouped"))
+    return stays.withColumn("__k", number).filter("not __grouped or __k = 1").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -124,15 +124,15 @@ def _pack(width: int, names: tuple[str, str], separator: int, with_ids: bool, ba
             while at < cut:
                 doc_start = int(stops[k]) - len(held[k][1])
                 end = min(cut, int(stops[k]))
-                piece = ids[at:end]
-                row = (held[k][0], at - doc_start, end - at, zlib.crc32(piece.astype("<u4").tobytes()), len(held[k][1]), sequence, at - begin)
-                rows.append((*row, piece.tolist()) if with_ids else row)
+                rows.append((held[k][0], at - doc_start, end - at, zlib.crc32(ids[at:end].astype("<u4").tobytes()), len(held[k][1]), sequence, at - begin))
                 k += end == stops[k]
                 at = end
             sequence += 1
             begin = cut
         columns = list(zip(*rows, strict=True))
-        arrays = [pa.array(c, pa.int64()) for c in columns[:7]] + [pa.array(c, pa.list_(pa.int32())) for c in columns[7:]]
+        arrays = [pa.array(c, pa.int64()) for c in columns]
+        if with_ids:  # the pieces are the ids in order
+            arrays.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *columns[2]]).astype(np.int32)), pa.array(ids.astype(np.int32))))
         return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: len(arrays)])
 
     for batch in batches:

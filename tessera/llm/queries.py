@@ -68,7 +68,7 @@ def op8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
-    return near_duplicates(spark, _read(spark, sf_dir, "documents"), width=2, percent=80)
+    return near_duplicates(spark, _read(spark, sf_dir, "documents"), width=2, percent=80).drop("row", "group")
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
