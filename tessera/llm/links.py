@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 #: Members of a family that a task compares with its outsiders.
-SLICE = 2000
+SLICE = 500
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -72,19 +72,20 @@ def near_components(
     sets_of: Callable[[DataFrame], DataFrame],
     *,
     percent: int,
-    longs: int,
+    apart_by: Callable[[Column, Column], Column],
     most: int,
     scratch: Scratch,
 ) -> DataFrame:
     """Components (node, comp) of the nodes that have a link.
 
     nodes: (node, n, q); keys: (key, node), both with or without repeats; sets_of(df of node) gives (node, items).  A link is a pair that
-    shares a key, differs in at most `most` symbols and is `percent` similar by its full sets.
+    shares a key, whose q are at most `most` apart by apart_by (a metric, or 0 just for
+    pairs that share a key), and whose full sets are `percent` similar.
     """
     def described(df: DataFrame, side: str) -> DataFrame:
         return df.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("q").alias(f"q{side}")), side)
 
-    apart = distance(F.col("qa"), F.col("qb"), longs)
+    apart = apart_by(F.col("qa"), F.col("qb"))
     # First, every group's nodes against its smallest.
     low = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("high")).filter("a < high").select("key", "a")
     pairs = scratch.table(keys.withColumnRenamed("node", "b").join(low, "key").filter("a < b").distinct())
@@ -96,17 +97,20 @@ def near_components(
     # differences of which a has left, being near a leader, is still related through that leader: b is within 2 * most.
     rest = pairs.join(first.filter(F.col("d") <= most), ["a", "b"], "left_anti").select("key", F.col("b").alias("node"))
     many = rest.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    rest = scratch.table(rest.join(many, "key").select("key", F.col("node").alias("b"), (F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.sqrt("size"))) == 0).alias("leads")))
-    rest = scratch.table(described(rest, "b"))
-    lead = rest.filter("leads").select(F.col("key").alias("k"), *(F.col(f"{c}b").alias(f"{c}a") for c in ("", "n", "q")))
-    second = rest.join(lead, (F.col("key") == F.col("k")) & (F.col("a") != F.col("b")) & (apart <= 2 * most)).select("key", "a", "b", apart.alias("d"))
-    second = scratch.table(second)
-    # At last the pairs of what no leader is near to.
-    rest = rest.filter("not leads").join(second.filter(F.col("d") <= most).select("key", "b").distinct(), ["key", "b"], "left_anti").drop("leads")
-    rest = scratch.table(rest)
-    other = rest.select(F.col("key").alias("k"), *(F.col(f"{c}b").alias(f"{c}a") for c in ("", "n", "q")))
-    third = rest.join(other, (F.col("key") == F.col("k")) & (F.col("a") < F.col("b")) & (apart <= most)).select("a", "b", apart.alias("d"))
-    stars = first.unionByName(second.select("a", "b", "d")).unionByName(third).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d")
+    stars = first
+    if not many.isEmpty():
+        rest = scratch.table(rest.join(many, "key").select("key", F.col("node").alias("b"), (F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.sqrt("size"))) == 0).alias("leads")))
+        rest = scratch.table(described(rest, "b"))
+        lead = rest.filter("leads").select(F.col("key").alias("k"), *(F.col(f"{c}b").alias(f"{c}a") for c in ("", "n", "q")))
+        second = rest.join(lead, (F.col("key") == F.col("k")) & (F.col("a") != F.col("b")) & (apart <= 2 * most)).select("key", "a", "b", apart.alias("d"))
+        second = scratch.table(second)
+        # At last the pairs of what no leader is near to.
+        rest = rest.filter("not leads").join(second.filter(F.col("d") <= most).select("key", "b").distinct(), ["key", "b"], "left_anti").drop("leads")
+        rest = scratch.table(rest)
+        other = rest.select(F.col("key").alias("k"), *(F.col(f"{c}b").alias(f"{c}a") for c in ("", "n", "q")))
+        third = rest.join(other, (F.col("key") == F.col("k")) & (F.col("a") < F.col("b")) & (apart <= most)).select("a", "b", apart.alias("d"))
+        stars = stars.unionByName(second.select("a", "b", "d")).unionByName(third)
+    stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d")
     stars = scratch.table(described(described(stars.dropDuplicates(["a", "b"]), "a"), "b").select("a", "b", "d", "na", "nb"))
     wanted = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
     sets = scratch.table(sets_of(wanted))
@@ -125,7 +129,7 @@ def near_components(
     inner = members.select("family", F.pmod("node", "slices").alias("slice"), *(F.col(c).alias(f"m_{c}") for c in ("node", "comp", "n", "q", "items", "inner")))
     outer = members.filter("not inner").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).drop("slices", "inner")
     on = [outer["family"] == inner["family"], outer["slice"] == inner["slice"], F.col("comp") != F.col("m_comp"), F.col("m_inner") | (F.col("node") < F.col("m_node"))]
-    on += [comparable(F.col("n"), F.col("m_n"), percent), distance(F.col("q"), F.col("m_q"), longs) <= most, similar(F.col("items"), F.col("m_items"), percent)]
+    on += [comparable(F.col("n"), F.col("m_n"), percent), apart_by(F.col("q"), F.col("m_q")) <= most, similar(F.col("items"), F.col("m_items"), percent)]
     late = outer.hint("merge").join(inner, reduce(lambda x, y: x & y, on)).select(F.least("node", "m_node").alias("a"), F.greatest("node", "m_node").alias("b"))
     late = scratch.table(late.distinct())
     if late.isEmpty():

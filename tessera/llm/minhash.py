@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .links import near_components
+from .links import distance, near_components
 from .scratch import Scratch
 from .wordhash import U64, mix, shingle_sets, slices
 
@@ -118,7 +118,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
         whole = given.select("uid", "text").join(chosen, "uid").select("node", "text")
         return whole.mapInArrow(partial(_sets, width), "node long, items array<long>").dropDuplicates(["node"])
 
-    comps = near_components(quads, keys, sets_of, percent=percent, longs=SYMBOLS // 16, most=MOST, scratch=scratch)
+    comps = near_components(quads, keys, sets_of, percent=percent, apart_by=partial(distance, longs=SYMBOLS // 16), most=MOST, scratch=scratch)
     # Texts without shingles stay alone: their own row is their component.
     placed = rows.filter("n > 0").join(comps, "node", "left").select("doc_id", "uid", "n", F.coalesce("comp", "node").alias("comp"))
     least = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
