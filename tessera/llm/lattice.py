@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 
 import numpy as np
@@ -100,14 +100,17 @@ class Lattice:
 
     def spelled(self, points: np.ndarray, log: np.ndarray) -> np.ndarray:
         """Log weight of spelling each code point by bytes."""
-        kinds, inverse = np.unique(points, return_inverse=True)
-        cost = np.array([log[self.byte[list(chr(p).encode("utf-8", "surrogatepass"))]].sum() for p in kinds.tolist()])
-        return cost[inverse.reshape(points.shape)]
-
-    def forward(self, points: np.ndarray, log: np.ndarray, arcs: dict) -> np.ndarray:
+        seen = np.zeros(int(points.max()) + 1, dtype=bool)
+        seen[points] = True
+        cost = np.zeros(len(seen))
+        for p in np.flatnonzero(seen).tolist():
+            cost[p] = log[self.byte[list(chr(p).encode("utf-8", "surrogatepass"))]].sum()
+        return cost[points]
+
+    def forward(self, points: np.ndarray, log: np.ndarray, arcs: dict, single: np.ndarray | None = None) -> np.ndarray:
         """Log of the summed weight of all segmentations of each prefix, (m, n + 1)."""
         m, n = points.shape
-        single = self.spelled(points, log)
+        single = self.spelled(points, log) if single is None else single
         f = np.full((m, n + 1), -np.inf)
         f[:, 0] = 0.0
         for j in range(1, n + 1):
@@ -119,11 +122,12 @@ class Lattice:
             f[:, j] = total
         return f
 
-    def expected(self, points: np.ndarray, counts: np.ndarray, log: np.ndarray) -> np.ndarray:
-        """Expected number of uses of each piece over words that occur `counts` times."""
-        arcs = self.arcs(points)
+    def expected(self, points: np.ndarray, log: np.ndarray, weigh: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """Expected number of uses of each piece; weigh gives each word's count from the log weight of the word."""
+        arcs, single = self.arcs(points), self.spelled(points, log)
+        f = self.forward(points, log, arcs, single)
         m, n = points.shape
-        f, single = self.forward(points, log, arcs), self.spelled(points, log)
+        counts = weigh(f[:, n])
         b = np.full((m, n + 1), -np.inf)
         b[:, n] = 0.0
         for i in range(n - 1, -1, -1):
@@ -134,13 +138,14 @@ class Lattice:
                     total[rows] = np.logaddexp(total[rows], b[rows, j] + log[number])
             b[:, i] = total
         out = np.zeros(len(log))
+        b -= f[:, n:]
         for (i, j), (rows, number) in arcs.items():
-            out += np.bincount(number, counts[rows] * np.exp(f[rows, i] + log[number] + b[rows, j] - f[rows, n]), len(log))
-        use = counts[:, None] * np.exp(f[:, :-1] + single + b[:, 1:] - f[:, n:])
-        for p in np.unique(points).tolist():
-            amount = use[points == p].sum()
+            out += np.bincount(number, counts[rows] * np.exp(f[rows, i] + log[number] + b[rows, j]), len(log))
+        use = counts[:, None] * np.exp(f[:, :-1] + single + b[:, 1:])
+        by_point = np.bincount(points.ravel(), use.ravel())
+        for p in np.flatnonzero(by_point).tolist():
             for x in chr(p).encode("utf-8", "surrogatepass"):
-                out[self.byte[x]] += amount
+                out[self.byte[x]] += by_point[p]
         return out
 
 
@@ -189,12 +194,17 @@ def _expect(model: str, log: np.ndarray, share: float, n: int, batches: Iterator
     for batch in batches:
         c = batch["c"].to_numpy().astype(float)
         for points, places in by_length(batch["word"].to_pylist()):
-            spelled = made.forward(points, log, made.arcs(points))[:, -1]
             with np.errstate(divide="ignore"):
                 arc = np.log(share * (c[places] - 1) / max(n - 1, 1))
-            part = np.exp(arc - np.logaddexp(arc, np.log1p(-share) + spelled))
-            whole += float((c[places] * part).sum())
-            total += made.expected(points, c[places] * (1 - part), log)
+
+            own, uses = c[places], []
+
+            def weigh(spelled: np.ndarray, own: np.ndarray = own, arc: np.ndarray = arc, uses: list = uses) -> np.ndarray:
+                uses.append(own * (1 - np.exp(arc - np.logaddexp(arc, np.log1p(-share) + spelled))))
+                return uses[0]
+
+            total += made.expected(points, log, weigh)
+            whole += float(own.sum() - uses[0].sum())
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array([-1, *used.tolist()]), pa.array([whole, *total[used].tolist()])], names=["piece", "uses"])
 
