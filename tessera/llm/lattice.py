@@ -165,6 +165,18 @@ def by_length(tokens: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield np.frombuffer("".join(texts[k] for k in some).encode("utf-32-le"), np.uint32).reshape(-1, n), np.array(some)
 
 
+def merged(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[pa.Table]:
+    """Batches put together to about `rows` rows, so that words of equal length make large groups."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def tokens(text: str | None) -> list[bytes]:
     """Words of a text, A-Z in lower case, then the end."""
     return [*(text or "").encode().lower().split(), END]
@@ -191,7 +203,7 @@ def _expect(model: str, log: np.ndarray, share: float, n: int, batches: Iterator
     """Expected uses of pieces, and under -1 of whole-word arcs.  A word's own use isn't evidence for its arc."""
     made = lattice(model)
     total, whole = np.zeros(len(log)), 0.0
-    for batch in batches:
+    for batch in merged(batches):
         c = batch["c"].to_numpy().astype(float)
         for points, places in by_length(batch["word"].to_pylist()):
             with np.errstate(divide="ignore"):
@@ -212,7 +224,7 @@ def _expect(model: str, log: np.ndarray, share: float, n: int, batches: Iterator
 def _weigh(model: str, log: np.ndarray, share: float, n: int, stop: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """log10 of each word's probability: its whole-word arc, if training texts have the word, and all its segmentations."""
     made = lattice(model)
-    for batch in batches:
+    for batch in merged(batches):
         words, c = batch["word"].to_pylist(), batch["c"].to_numpy()
         out = np.zeros(len(words))
         for points, places in by_length(words):
@@ -221,7 +233,7 @@ def _weigh(model: str, log: np.ndarray, share: float, n: int, stop: float, batch
                 arc = np.log(share * c[places] / max(n, 1))
             out[places] = np.logaddexp(arc, np.log1p(-share) + spelled) + np.log1p(-stop)
         out[[k for k, w in enumerate(words) if w == END]] = np.log(stop)
-        yield pa.RecordBatch.from_arrays([batch["word"], batch["c"], pa.array(out / np.log(10))], names=["word", "c", "lp"])
+        yield from pa.table([batch["word"], batch["c"], pa.array(out / np.log(10))], names=["word", "c", "lp"]).to_batches(max_chunksize=20_000)
 
 
 def _score(n: int, v: int, docs: pa.Table, table: pa.Table) -> pa.Table:
@@ -231,7 +243,8 @@ def _score(n: int, v: int, docs: pa.Table, table: pa.Table) -> pa.Table:
     base = np.log10((c + 1) / (n + v + 1))
     sums: list[tuple[int, int, float, float]] = []
     for text in docs["text"]:
-        at = np.array([place[t] for t in tokens(text.as_py())])
+        said = tokens(text.as_py())
+        at = np.fromiter(map(place.__getitem__, said), np.int64, len(said))
         sums.append((len(at), int((c[at] > 0).sum()), float(base[at].sum()), float(lp[at].sum())))
     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     columns = [pa.array(x, k) for x, k in zip(zip(*sums, strict=True), kinds, strict=True)] if sums else [pa.array([], k) for k in kinds]
