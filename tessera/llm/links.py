@@ -19,6 +19,13 @@ from .scratch import Scratch
 
 #: Members of a family that a task compares with its outsiders.
 SLICE = 500
+#: Rows of two longs up to which a table is broadcast (16 MB); beyond, it is joined by a shuffle.
+BROADCAST = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table of a few longs, to be broadcast if its number of rows allows it."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -28,7 +35,6 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     hubs are left to the skew handling of joins.  Self-loops and repeated edges are harmless; no edges, no rows.
     """
     edges = scratch.table(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
-    state = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
@@ -37,10 +43,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct("a", F.col("low").alias("b")))).alias("e"))
         edges = scratch.table(small.select("e.*").filter("a > b").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == state:
+        # Done once every node above has one below, which has none: another round would change nothing.
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up")))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("low"))
+        if ends.filter("ups > 1 or (ups = 1 and low = 0)").isEmpty():
             return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
-        state = now
 
 
 def distance(left: Column, right: Column, longs: int) -> Column:
@@ -88,6 +95,7 @@ def near_components(
     apart = apart_by(F.col("qa"), F.col("qb"))
     # First, every group's nodes against its smallest.
     low = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("high")).filter("a < high").select("key", "a")
+    low = small(scratch.table(low))
     pairs = scratch.table(keys.withColumnRenamed("node", "b").join(low, "key").filter("a < b").distinct())
     met = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     nodes = scratch.table(nodes.join(met, "node", "left_semi").dropDuplicates(["node"]))

@@ -30,11 +30,11 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
 
-    def table(self, df: DataFrame) -> DataFrame:
-        """The rows of df, read back from a written table."""
+    def table(self, df: DataFrame, hashes: tuple[str, ...] = ()) -> DataFrame:
+        """The rows of df, read back from a written table; hashes: Parquet paths of columns for which a dictionary is of no use."""
         self.count += 1
         path = f"{self.root}/{self.count:03d}"
-        df.write.parquet(path)
+        df.write.options(**{f"parquet.enable.dictionary#{c}": "false" for c in hashes}).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, df: DataFrame) -> None:
