@@ -66,3 +66,16 @@ def looks_like_intro(text: Column) -> Column:
     """Whether a text announces what follows it."""
     flat = F.lower(squeeze(text))
     return flat.rlike(r":$") | flat.rlike(r"\b(the following|as follows)\b") | flat.rlike(r"\b(includes?|comprises?|consists of|sets out)\b.*:")
+
+
+# Phrases that announce what follows them.
+ANNOUNCING = ["following authorities", "following information", "following categories"]
+
+
+def announces(text: Column) -> Column:
+    """Whether a chunk's text introduces its neighbours; false if it is null."""
+    flat = F.lower(F.trim(text))
+    said = [flat.contains(p) for p in ANNOUNCING]
+    shapes = [r":$", r"(?s)\bentails?\b.*\b(two|three|four|five|\d+)\b.*:", r"(?s)\b(includes?|comprises?|consists of|sets out)\b.*:"]
+    found = said + [flat.rlike(s) for s in shapes]
+    return F.coalesce(F.array_contains(F.array(*found), True), F.lit(False))

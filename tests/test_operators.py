@@ -123,3 +123,34 @@ def test_stream_takes_each_file_once(spark, tmp_path):
         df.withColumn("v", F.lit(k)).write.mode("append").parquet(source)
         start(spark, source, df.schema, target, checkpoint, lambda b: b).awaitTermination()
     assert [r["v"] for r in spark.read.parquet(target).collect()] == [2]
+
+
+CHUNK = "doc_id string, chunk_index int, kind string, text string, pages array<int>, section_path array<string>"
+SEED = "query_id long, doc_id string, chunk_index int, rank int"
+
+
+def context(spark, chunks, seeds, **limits):
+    made = spark.createDataFrame([("d", *c) for c in chunks], CHUNK)
+    got = evidence.structural(spark.createDataFrame([(1, "d", i, r) for r, i in enumerate(seeds, 1)], SEED), made, **limits)
+    return [(r["chunk_index"], r["source_rank"], r["ranked_seed_rank"], r["reasons"]) for r in got.orderBy("context_order").collect()]
+
+
+def test_structural_context_rules(spark):
+    s = ["A"]
+    got = context(spark, [(90, "clause", "x; and", [34], s), (91, "list_item", "y", [35], s)], [90])
+    assert got == [(90, 1, 1, ["ranked_seed"]), (91, 1, None, ["continuation_list_item"])]
+    got = context(spark, [(180, "clause", "x:", [1], s), (181, "mixed", "y", [1], s), (182, "mixed", "z", [1], s), (183, "clause", "w", [1], s)], [180])
+    assert [r[0] for r in got] == [180, 181, 182]
+    got = context(spark, [(242, "clause", "the following authorities.", [89], s), (243, "table", "t", [90], s)], [242])
+    assert got[1] == (243, 1, None, ["following_table"])
+    assert len(context(spark, [(1, "clause", "Items:", [1], s), (2, "list_item", "y", [1], ["B"])], [1])) == 1
+    chain = [(1, "clause", "x:", [], s), (2, "list_item", "y:", [], s), (3, "list_item", "z", [], s)]
+    assert [r[0] for r in context(spark, chain, [1], forward=1)] == [1, 2]
+    assert [r[0] for r in context(spark, [(1, "clause", "x:", [1], s), (3, "list_item", "z", [1], s)], [1])] == [1]
+
+
+def test_structural_context_is_capped_in_order(spark):
+    chunks = [(i, "list_item", f"{i}:", None, None) for i in range(8)]
+    got = context(spark, chunks, [2, 5], most=4)
+    assert [(r[0], r[1]) for r in got] == [(1, 1), (2, 1), (3, 1), (5, 2)]
+    assert got[0][3] == ["preceding_intro"] and got[2][3] == ["introduced_child"]
