@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import content_id, squeeze, token_estimate
@@ -68,3 +68,33 @@ def chunks(packed_: DataFrame) -> DataFrame:
 def summary(chunks_: DataFrame) -> DataFrame:
     """One row: counts and sizes of chunks."""
     return chunks_.agg(F.count("*").alias("chunks"), F.count_distinct("doc_id").alias("documents"), F.sum("tokens").alias("tokens"), F.min("tokens").alias("min_tokens"), F.max("tokens").alias("max_tokens"), F.bround(F.avg("tokens"), 2).alias("avg_tokens"), F.count_if(F.col("tokens") > MOST).alias("over_limit"))
+
+
+def pieces(text: Column, most: int) -> Column:
+    """The words of a squeezed text in pieces of up to `most` tokens; a word beyond that is a piece of its own.
+
+    A null text has no pieces (null), an empty one an empty list.
+    """
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("piece"), F.lit(0).alias("used"))
+
+    def step(state: Column, word: Column) -> Column:
+        n = token_estimate(word)
+        opens = (state["piece"] != "") & (state["used"] + n > most)
+        out = F.when(opens, F.concat(state["out"], F.array(state["piece"]))).otherwise(state["out"])
+        piece = F.when(opens | (state["piece"] == ""), word).otherwise(F.concat(state["piece"], F.lit(" "), word))
+        return F.struct(out.alias("out"), piece.alias("piece"), F.when(opens, n).otherwise(state["used"] + n).alias("used"))
+
+    def finish(state: Column) -> Column:
+        return F.when(state["piece"] == "", state["out"]).otherwise(F.concat(state["out"], F.array(state["piece"])))
+
+    return F.aggregate(F.split(squeeze(text), " "), start, step, finish)
+
+
+def split_overlong(chunks_: DataFrame, most: int = MOST) -> DataFrame:
+    """Chunks (text, tokens and others) with those over `most` tokens in pieces: split_part from 1, split_total; else both null."""
+    over = F.col("tokens") > most
+    parts = F.when(over, pieces(F.col("text"), most)).otherwise(F.array("text"))
+    kept = [c for c in chunks_.columns if c not in ("text", "tokens")]
+    cut = chunks_.withColumns({"__over": over, "__parts": parts}).select(*(F.col(f"`{c}`") for c in kept), "tokens", "__over", F.size("__parts").alias("total"), F.posexplode_outer("__parts").alias("part", "text"))
+    tokens = F.when(F.col("__over"), token_estimate(F.col("text"))).otherwise(F.col("tokens"))
+    return cut.select(*(F.col(f"`{c}`") for c in kept), "text", tokens.alias("tokens"), F.when(F.col("__over"), F.col("part") + 1).alias("split_part"), F.when(F.col("__over"), F.col("total")).alias("split_total"))

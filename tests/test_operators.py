@@ -154,3 +154,23 @@ def test_structural_context_is_capped_in_order(spark):
     got = context(spark, chunks, [2, 5], most=4)
     assert [(r[0], r[1]) for r in got] == [(1, 1), (2, 1), (3, 1), (5, 2)]
     assert got[0][3] == ["preceding_intro"] and got[2][3] == ["introduced_child"]
+
+
+def test_pieces_equal_a_greedy_loop(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    words = docs.select("doc_id", F.posexplode(F.split(text.squeeze(F.col("text")), " ")).alias("i", "w")).withColumn("n", text.token_estimate(F.col("w")))
+    want = {}
+    for r in words.orderBy("doc_id", "i").collect():
+        own = want.setdefault(r["doc_id"], [])
+        if r["w"] and (not own or own[-1][1] + r["n"] > 100):
+            own.append(([], 0))
+        if r["w"]:
+            own[-1] = ([*own[-1][0], r["w"]], own[-1][1] + r["n"])
+    got = {r["doc_id"]: r["p"] for r in docs.filter("text is not null").select("doc_id", chunking.pieces(F.col("text"), 100).alias("p")).collect()}
+    assert got == {k: [" ".join(ws) for ws, _ in v] for k, v in want.items()}
+
+
+def test_splitting_of_overlong_chunks(spark):
+    rows = [("a", "w " * 500, 500), ("b", "short", 1), ("c", None, None)]
+    got = chunking.split_overlong(spark.createDataFrame(rows, "chunk_id string, text string, tokens int"), 150).collect()
+    assert [(r["chunk_id"], r["tokens"], r["split_part"], r["split_total"]) for r in got] == [("a", 150, 1, 4), ("a", 150, 2, 4), ("a", 150, 3, 4), ("a", 50, 4, 4), ("b", 1, None, None), ("c", None, None, None)]
