@@ -127,6 +127,27 @@ def test_line_dedup_of_odd_rows(spark, odd, empty):
     assert line_dedup.dedup_lines(spark, empty).count() == 0
 
 
+def without_repeats(rows, shortest=1):
+    """Texts of (doc_id, text) by brute force: shingles of twelve characters at every place, cut here."""
+    lines = [(d, i, x.lower()) for d, t in rows for i, x in enumerate(t.split("\n")) if len(x) >= shortest and x.strip()]
+    keys = {x: k for k, x in enumerate(dict.fromkeys(x for _, _, x in lines))}
+    groups = components({k: {x[i : i + 12] for i in range(len(x) - 11)} for x, k in keys.items()}, lambda n, union: 100 * n >= 80 * union)
+    seen, gone = set(), set()
+    for d, i, x in lines:
+        if groups[keys[x]] in seen:
+            gone.add((d, i))
+        seen.add(groups[keys[x]])
+    return {d: "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in rows}
+
+
+def test_line_dedup_shingles_at_every_character(spark, documents):
+    rows = [*documents, (10_001, "Licensed under the Apache License, Version 2.0."), (10_002, "Licensed under the Apache License, Version 2.1.\nNothing of this line stands in any other place.")]
+    expected = without_repeats(rows, line_dedup.SHORTEST)
+    assert expected[10_002] == "Nothing of this line stands in any other place."
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark, df).collect()} == expected
+
+
 # Chats.
 
 
