@@ -38,9 +38,9 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .line_dedup import dedup_lines
+    from .line_dedup import SHORTEST, dedup_lines
 
-    return dedup_lines(spark, _read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_kept", "text")
+    return dedup_lines(spark, _read(spark, sf_dir, "documents"), SHORTEST).select("doc_id", "n_lines", "n_kept", "text")
 
 
 def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,6 +148,16 @@ def test_line_dedup_shingles_at_every_character(spark, documents):
     assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark, df).collect()} == expected
 
 
+def test_short_lines_are_deduplicated(spark):
+    import corpus_pipeline
+
+    rows = [(1, "And ornd.\n\nAmen"), (2, "and ornd.\n\n  \nAmen\nBut this"), (3, "Amen\nOx")]
+    expected = {1: "And ornd.\n\nAmen", 2: "\n  \nBut this", 3: "Ox"}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert expected == without_repeats(rows)
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.distinct_lines(spark, df, FOLDER).collect()} == expected
+
+
 # Chats.
 
 
