@@ -15,6 +15,8 @@ DIMS, SLOTS, SAMPLE = 1024, 255, 2000
 #: Languages beyond which a model is refused: profiles are sent to every task.
 MOST_LANGUAGES = 2000
 SHARPNESS = 25.0
+#: Powers of two of the beginnings that bounds are taken from; the share of their median cosine that a text needs.
+EXPONENTS, LOOSE = range(2, 11), 0.25
 
 
 @lru_cache(maxsize=1)
@@ -113,34 +115,64 @@ def train(labelled: DataFrame, order: Column, sample: int = SAMPLE) -> tuple[lis
     return langs, np.round(profiles, 6).astype(np.float32)
 
 
-def _predict(langs: list[str], profiles: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _beginnings(profiles: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in _groups(batch):
-            vectors, has = bundles(part["text"].to_pylist())
+            texts = part["text"].to_pylist()
+            for k in EXPONENTS:
+                vectors, has = bundles([t[: 1 << k] for t in texts])
+                top = (vectors @ profiles.T).max(axis=1)[has]
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(top), pa.int32()), pa.array(top, pa.float64())], names=["k", "cosine"])
+
+
+def floors(labelled: DataFrame, order: Column, profiles: np.ndarray) -> dict[int, float]:
+    """For each k of EXPONENTS a share of the median cosine that beginnings of 2 ** k characters of labelled texts have."""
+    if not len(profiles):
+        return {}
+    share = min(1.0, 4 * SAMPLE / max(1, labelled.count()))
+    chosen = labelled.filter(F.pmod(F.xxhash64(order, F.lit("floor")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    found = chosen.select("text").repartition(8).mapInArrow(partial(_beginnings, profiles), "k int, cosine double")
+    return {r["k"]: LOOSE * r["c"] for r in found.groupBy("k").agg(F.percentile_approx("cosine", 0.5).alias("c")).collect()}
+
+
+def _least(least: dict[int, float], text: str | None) -> float:
+    """The bound for a text, by its letters (at most those of its beginning, so that it is rather too low)."""
+    letters = sum(map(str.isalpha, (text or "")[:4096]))
+    return least.get(min(letters.bit_length() - 1, EXPONENTS[-1]), -2.0)
+
+
+def _predict(langs: list[str], profiles: np.ndarray, least: dict[int, float], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in _groups(batch):
+            texts = part["text"].to_pylist()
+            vectors, has = bundles(texts)
             cosines = vectors @ profiles.T if langs else np.full((len(has), 1), -1.0)
             best = cosines.argmax(axis=1)
             top = cosines[np.arange(len(best)), best]
             score = 1 / np.exp(SHARPNESS * (cosines - top[:, None])).sum(axis=1)
             known = has & bool(langs)
+            if least:
+                known &= top >= np.array([_least(least, t) for t in texts])
             pred = [langs[b] if k else "und" for b, k in zip(best.tolist(), known.tolist(), strict=True)]
             columns = [pa.array(pred), pa.array(np.where(known, score, 0.0), pa.float64()), pa.array(np.where(known, top, 0.0), pa.float64())]
             kept = [part.column(k) for k in range(part.num_columns)]
             yield pa.RecordBatch.from_arrays([*kept, *columns], names=[*part.schema.names, "lang_pred", "score", "cosine"])
 
 
-def identify(spark: SparkSession, docs: DataFrame, trains: Column, keep: list[str]) -> DataFrame:
+def identify(spark: SparkSession, docs: DataFrame, trains: Column, keep: list[str], bounded: bool = False) -> DataFrame:
     """The columns `keep` of docs, with lang_pred, score (0 to 1, of the prediction) and cosine (to its profile).
 
     docs has doc_id, text and lang.  Profiles are learned from rows with `trains` true and a lang; a null counts as
     false.  A null text, one without a letter, and any text if nothing was learned, are `und` with score 0.  Whole
-    texts are used.  Repeated rows give repeated results; no rows, no result rows.
+    texts are used.  If bounded, a text under the floor for its number of letters is `und` as well.  Repeated rows give repeated results; no rows, no result rows.
     """
     labelled = docs.filter(F.coalesce(trains, F.lit(False)) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     langs, profiles = train(labelled.select("text", F.col("lang").cast("string").alias("lang"), "doc_id"), F.col("doc_id"))
+    least = floors(labelled, F.col("doc_id"), profiles) if bounded else {}
     columns = list(dict.fromkeys([*keep, "text"]))
     given = docs.select(*columns)
     schema = ", ".join(f"`{c}` {t}" for c, t in given.dtypes) + ", lang_pred string, score double, cosine double"
-    return given.mapInArrow(partial(_predict, langs, profiles), schema).select(*keep, "lang_pred", "score", "cosine")
+    return given.mapInArrow(partial(_predict, langs, profiles, least), schema).select(*keep, "lang_pred", "score", "cosine")
 
 
 def fold(modulus: int) -> Column:

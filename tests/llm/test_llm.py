@@ -455,3 +455,14 @@ def test_pipeline(spark, odd):
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
     one = corpus_pipeline.known_language(spark, docs.unionByName(odd.filter("doc_id in (1, 2, 9)")), FOLDER)
     assert one.count() == docs.count()
+
+
+def test_texts_of_no_language_leave_the_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    dump = "".join(hashlib.sha256(bytes([i])).hexdigest() for i in range(40))
+    polish = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. " * 10
+    planted = spark.createDataFrame([(-1, dump, "en", "a", 1), (-2, polish, "en", "a", 1)], DOCS)
+    got = corpus_pipeline.known_language(spark, docs.unionByName(planted), FOLDER)
+    assert got.filter("doc_id < 0").count() == 0 and got.count() == docs.count()
