@@ -1,10 +1,10 @@
 """From candidate keys to connected components of similar sets, with DataFrame operations only.
 
 Nodes carry a signature of K four-bit symbols, packed sixteen to a long.  Two nodes that share a key are
-candidates; a candidate pair counts as a link once its full sets confirm the similarity.  No step emits all
-pairs of a group: a group is compared with its smallest member, what is far from that with some more members.
-Only nodes that this leaves outside their family's main component are compared with the rest of the family,
-inside a join that returns confirmed links alone.
+candidates; a candidate pair counts as a link once its full sets confirm the similarity.  A group is compared with
+its smallest member, what is far from that with some more members.  Nodes that this leaves outside their family's
+main component are compared with the rest of the family, in slices of bounded size on either side, so that no
+task gets a whole family, and inside a join that returns confirmed links alone.
 """
 
 from __future__ import annotations
@@ -17,15 +17,8 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-#: Members of a family that a task compares with its outsiders.
+#: Members of a group or family that a task compares with as many others.
 SLICE = 500
-#: Rows of two longs up to which a table is broadcast (16 MB); beyond, it is joined by a shuffle.
-BROADCAST = 1_000_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """A written table of a few longs, to be broadcast if its number of rows allows it."""
-    return F.broadcast(df) if df.count() <= BROADCAST else df
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -39,15 +32,16 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a > b").distinct()
-        large = scratch.table(large)
+        large = scratch.table(large, done=(edges,))
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct("a", F.col("low").alias("b")))).alias("e"))
-        edges = scratch.table(small.select("e.*").filter("a > b").distinct())
+        edges = scratch.table(small.select("e.*").filter("a > b").distinct(), done=(large,))
         # Done once every node above has one below, which has none: another round would change nothing.
         ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up")))
         ends = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("low"))
         if ends.filter("ups > 1 or (ups = 1 and low = 0)").isEmpty():
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
+            found = edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
+            return scratch.table(found, done=(edges,))
 
 
 def distance(left: Column, right: Column, longs: int) -> Column:
@@ -65,7 +59,7 @@ def distance(left: Column, right: Column, longs: int) -> Column:
 def similar(left: Column, right: Column, percent: int) -> Column:
     """True if 100 * |intersection| >= percent * |union| for two arrays of distinct items."""
     shared = F.size(F.array_intersect(left, right))
-    return 100 * shared >= percent * (F.size(left) + F.size(right) - shared)
+    return comparable(F.size(left), F.size(right), percent) & (100 * shared >= percent * (F.size(left) + F.size(right) - shared))
 
 
 def comparable(left: Column, right: Column, percent: int) -> Column:
@@ -73,6 +67,15 @@ def comparable(left: Column, right: Column, percent: int) -> Column:
     return 100 * F.least(left, right) >= percent * F.greatest(left, right)
 
 
+def _slices(count: Column) -> Column:
+    return F.ceil(count / SLICE)
+
+
+def _each(slices: str) -> Column:
+    """A row for each number of a slice."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(slices) - 1))
+
+
 def near_components(
     nodes: DataFrame,
     keys: DataFrame,
@@ -85,61 +88,71 @@ def near_components(
 ) -> DataFrame:
     """Components (node, comp) of the nodes that have a link.
 
-    nodes: (node, n, q); keys: (key, node), both with or without repeats; sets_of(df of node) gives (node, items).  A link is a pair that
+    nodes: (node, q); keys: (key, node), both with or without repeats; sets_of(df of node) gives (node, items).  A link is a pair that
     shares a key, whose q are at most `most` apart by apart_by (a metric, or 0 just for
     pairs that share a key), and whose full sets are `percent` similar.
     """
     def described(df: DataFrame, side: str) -> DataFrame:
-        return df.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("q").alias(f"q{side}")), side)
+        return df.join(nodes.select(F.col("node").alias(side), F.col("q").alias(f"q{side}")), side)
 
     apart = apart_by(F.col("qa"), F.col("qb"))
     # First, every group's nodes against its smallest.
     low = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("high")).filter("a < high").select("key", "a")
-    low = small(scratch.table(low))
-    pairs = scratch.table(keys.withColumnRenamed("node", "b").join(low, "key").filter("a < b").distinct())
-    met = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    nodes = scratch.table(nodes.join(met, "node", "left_semi").dropDuplicates(["node"]))
+    low = scratch.table(low)
+    pairs = scratch.table(keys.withColumnRenamed("node", "b").join(low, "key").filter("a < b").distinct(), done=(low,))
+    met = scratch.table(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+    nodes = scratch.table(nodes.join(met, "node", "left_semi").dropDuplicates(["node"]), done=(met,))
     first = described(described(pairs.select("a", "b").distinct(), "a"), "b").select("a", "b", apart.alias("d"))
     first = scratch.table(first.filter(F.col("d") <= 2 * most))
     # Then what is far from it against about the square root of its number.  A pair (a, b) with at most `most`
     # differences of which a has left, being near a leader, is still related through that leader: b is within 2 * most.
     rest = pairs.join(first.filter(F.col("d") <= most), ["a", "b"], "left_anti").select("key", F.col("b").alias("node"))
-    many = rest.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    stars = first
+    rest = scratch.table(rest, done=(pairs,))
+    many = rest.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key", "size", _slices(F.col("size")).alias("slices"))
+    parts = [first]
     if not many.isEmpty():
-        rest = scratch.table(rest.join(many, "key").select("key", F.col("node").alias("b"), (F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.sqrt("size"))) == 0).alias("leads")))
-        rest = scratch.table(described(rest, "b"))
-        lead = rest.filter("leads").select(F.col("key").alias("k"), *(F.col(f"{c}b").alias(f"{c}a") for c in ("", "n", "q")))
-        second = rest.join(lead, (F.col("key") == F.col("k")) & (F.col("a") != F.col("b")) & (apart <= 2 * most)).select("key", "a", "b", apart.alias("d"))
+        leads = F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.sqrt("size"))) == 0
+        known = rest.join(many, "key").select("key", F.col("node").alias("b"), leads.alias("leads"), "slices", F.pmod(F.xxhash64("node", F.lit(2)), "slices").alias("slice"))
+        known = scratch.table(described(known, "b"), done=(rest,))
+        other = [F.col("key").alias("k"), _each("slices").alias("s"), *(F.col(f"{c}b").alias(f"{c}a") for c in ("", "q"))]
+        here = (F.col("key") == F.col("k")) & (F.col("slice") == F.col("s"))
+        second = known.join(known.filter("leads").select(*other), here & (F.col("a") != F.col("b")) & (apart <= 2 * most)).select("key", "a", "b", apart.alias("d"))
         second = scratch.table(second)
         # At last the pairs of what no leader is near to.
-        rest = rest.filter("not leads").join(second.filter(F.col("d") <= most).select("key", "b").distinct(), ["key", "b"], "left_anti").drop("leads")
-        rest = scratch.table(rest)
-        other = rest.select(F.col("key").alias("k"), *(F.col(f"{c}b").alias(f"{c}a") for c in ("", "n", "q")))
-        third = rest.join(other, (F.col("key") == F.col("k")) & (F.col("a") < F.col("b")) & (apart <= most)).select("a", "b", apart.alias("d"))
-        stars = stars.unionByName(second.select("a", "b", "d")).unionByName(third)
-    stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d")
-    stars = scratch.table(described(described(stars.dropDuplicates(["a", "b"]), "a"), "b").select("a", "b", "d", "na", "nb"))
-    wanted = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
-    sets = scratch.table(sets_of(wanted))
-
-    near = stars.filter((F.col("d") <= most) & comparable(F.col("na"), F.col("nb"), percent)).select("a", "b")
+        left = known.filter("not leads").join(second.filter(F.col("d") <= most).select("key", "b").distinct(), ["key", "b"], "left_anti").drop("leads")
+        left = scratch.table(left, done=(known,))
+        third = left.join(left.select(*other), here & (F.col("a") < F.col("b")) & (apart <= most)).select("a", "b", apart.alias("d"))
+        third = scratch.table(third, done=(left,))
+        parts += [second.select("a", "b", "d"), third]
+    stars = reduce(DataFrame.unionByName, parts).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d")
+    stars = scratch.table(stars.dropDuplicates(["a", "b"]), done=(first, *([second, third] if len(parts) > 1 else [rest])))
+    wanted = scratch.table(stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct())
+    sets = scratch.table(sets_of(wanted), done=(wanted,))
+
+    near = stars.filter(F.col("d") <= most).select("a", "b")
     near = near.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
     links = scratch.table(near.filter(similar(F.col("x"), F.col("y"), percent)).select("a", "b"))
-    comps = scratch.table(components(links, scratch))
-    families = components(stars.select("a", "b"), scratch).withColumnRenamed("comp", "family")
-    families = scratch.table(families.join(comps, "node", "left").select("node", "family", F.coalesce("comp", "node").alias("comp")))
-    sizes = families.groupBy("family", "comp").count()
+    comps = components(links, scratch)
+    families = components(stars.select("a", "b"), scratch)
+    scratch.drop(stars)
+    placed = families.withColumnRenamed("comp", "family").join(comps, "node", "left").select("node", "family", F.coalesce("comp", "node").alias("comp"))
+    placed = scratch.table(placed, done=(families,))
+    sizes = placed.groupBy("family", "comp").count()
     split = sizes.groupBy("family").agg(F.max(F.struct("count", "comp")).alias("main"), F.sum("count").alias("size"), F.count("*").alias("comps")).filter("comps > 1")
-    split = split.select("family", F.col("main.comp").alias("main"), F.ceil(F.col("size") / SLICE).alias("slices"))
-    members = families.join(split, "family").join(nodes, "node").join(sets, "node")
-    members = scratch.table(members.select("family", "node", "comp", "n", "q", "items", "slices", (F.col("comp") == F.col("main")).alias("inner")))
-    inner = members.select("family", F.pmod("node", "slices").alias("slice"), *(F.col(c).alias(f"m_{c}") for c in ("node", "comp", "n", "q", "items", "inner")))
-    outer = members.filter("not inner").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).drop("slices", "inner")
-    on = [outer["family"] == inner["family"], outer["slice"] == inner["slice"], F.col("comp") != F.col("m_comp"), F.col("m_inner") | (F.col("node") < F.col("m_node"))]
-    on += [comparable(F.col("n"), F.col("m_n"), percent), apart_by(F.col("q"), F.col("m_q")) <= most, similar(F.col("items"), F.col("m_items"), percent)]
+    split = split.select("family", F.col("main.comp").alias("main"), _slices(F.col("size")).alias("inners"), F.greatest(F.lit(1), _slices(F.col("size") - F.col("main.count"))).alias("outers"))
+    split = scratch.table(split)
+    members = placed.join(split, "family").join(nodes, "node").join(sets, "node")
+    members = scratch.table(members.select("family", "node", "comp", "q", "items", "inners", "outers", (F.col("comp") == F.col("main")).alias("inner")), done=(placed, split, sets, nodes))
+    inner = members.withColumn("outer_slice", _each("outers"))
+    inner = inner.select("family", "outer_slice", F.pmod("node", "inners").alias("inner_slice"), *(F.col(c).alias(f"m_{c}") for c in ("node", "comp", "q", "items", "inner")))
+    outer = members.filter("not inner").withColumn("inner_slice", _each("inners")).withColumn("outer_slice", F.pmod(F.xxhash64("node"), "outers")).drop("inners", "outers", "inner")
+    on = [*(outer[c] == inner[c] for c in ("family", "inner_slice", "outer_slice")), F.col("comp") != F.col("m_comp"), F.col("m_inner") | (F.col("node") < F.col("m_node"))]
+    on += [apart_by(F.col("q"), F.col("m_q")) <= most, similar(F.col("items"), F.col("m_items"), percent)]
     late = outer.hint("merge").join(inner, reduce(lambda x, y: x & y, on)).select(F.least("node", "m_node").alias("a"), F.greatest("node", "m_node").alias("b"))
-    late = scratch.table(late.distinct())
+    late = scratch.table(late.distinct(), done=(members,))
     if late.isEmpty():
+        scratch.drop(links, late)
         return comps
-    return scratch.table(components(links.unionByName(late), scratch))
+    found = components(links.unionByName(late), scratch)
+    scratch.drop(links, late, comps)
+    return found

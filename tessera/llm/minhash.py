@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .columns import Given
 from .links import distance, near_components
 from .scratch import Scratch
 from .wordhash import U64, mix, shingle_sets, slices
@@ -83,7 +84,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signatures = np.frombuffer(b"".join(batch["signature"].to_pylist()), np.uint16).reshape(-1, SYMBOLS)
         q = packed(signatures).view(np.int64) if len(signatures) else np.zeros((0, SYMBOLS // 16), np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(q) + 1, dtype=np.int32) * q.shape[1]), pa.array(q.ravel()))
-        yield pa.RecordBatch.from_arrays([batch["node"], batch["n"], lists], names=["node", "n", "q"])
+        yield pa.RecordBatch.from_arrays([batch["node"], lists], names=["node", "q"])
 
 
 def _sets(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +112,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
     first = rows.filter("n > 0").groupBy("node").agg(F.min("uid").alias("uid"))
     nodes = scratch.table(rows.filter("n > 0").join(first, ["node", "uid"]).dropDuplicates(["node"]))
     keys = nodes.select("node", "signature").mapInArrow(_keys, "key long, node long")
-    quads = scratch.table(nodes.select("node", "n", "signature").mapInArrow(_packed, "node long, n long, q array<long>"))
+    quads = scratch.table(nodes.select("node", "signature").mapInArrow(_packed, "node long, q array<long>"))
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         chosen = nodes.select("node", "uid").join(wanted, "node")
@@ -129,11 +130,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, percen
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each group of near-duplicates, that of the smallest doc_id; texts without words all stay."""
-    found = near_duplicates(spark, docs, width, percent)
+    """docs with one row of each group of near-duplicates, that of the smallest doc_id; texts without words all stay.
+
+    Other columns pass, whatever their names.  Rows alike in doc_id and text are one document; one of them stays.
+    """
+    given = Given(docs)
+    found = near_duplicates(spark, given.df.select(given["doc_id"].alias("doc_id"), given["text"].alias("text")), width, percent)
     last = F.lit((1 << 63) - 1)
-    first = found.filter("group is not null").groupBy("group").agg(F.min(F.struct(F.coalesce("doc_id", last), "row")).alias("first")).select("first.row", F.lit(True).alias("__grouped"))
-    alone = found.filter("group is null").select("row", F.lit(False).alias("__grouped")).distinct()
-    stays = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).join(first.unionByName(alone).withColumnRenamed("row", "__row"), "__row")
-    number = F.row_number().over(Window.partitionBy("__row").orderBy("__grouped"))
-    return stays.withColumn("__k", number).filter("not __grouped or __k = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    first = found.filter("group is not null").groupBy("group").agg(F.min(F.struct(F.coalesce("doc_id", last), "row")).alias("first")).select("first.row", F.lit(True).alias("grouped"))
+    alone = found.filter("group is null").select("row", F.lit(False).alias("grouped")).distinct()
+    stays = given.df.withColumn("row", F.xxhash64(given["doc_id"].cast("long"), given["text"].cast("string"))).join(first.unionByName(alone), "row")
+    number = F.row_number().over(Window.partitionBy("row").orderBy("grouped"))
+    return given.back(stays.withColumn("k", number).filter("not grouped or k = 1"))

@@ -6,14 +6,20 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Only for sessions that set no spark.checkpoint.dir, as in tests on one machine.
+#: Only for sessions of one machine that set no folder, as in tests.
 LOCAL_DEFAULT = "file:///tmp/tessera-checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; set where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of spark.checkpoint.dir, or that given to setCheckpointDir.
+
+    Where neither is set, a session of one machine takes LOCAL_DEFAULT, and one on a cluster raises ValueError: its
+    executors have no folder in common that this could guess.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         folder = LOCAL_DEFAULT
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -25,23 +31,49 @@ class Scratch:
     A lost executor costs a re-read of these files, never a recomputation of earlier steps.
     """
 
+    #: Folders that this session's operators wrote and nobody has deleted yet.
+    roots: list[tuple[SparkSession, str]] = []
+
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
+        Scratch.roots.append((spark, self.root))
 
-    def table(self, df: DataFrame, hashes: tuple[str, ...] = ()) -> DataFrame:
-        """The rows of df, read back from a written table; hashes: Parquet paths of columns for which a dictionary is of no use."""
+    def table(self, df: DataFrame, hashes: tuple[str, ...] = (), done: tuple[DataFrame, ...] = ()) -> DataFrame:
+        """The rows of df, read back from a written table; hashes: Parquet paths of columns for which a dictionary is of no use.
+
+        done: tables of this object that nothing reads after this one is written; they are deleted.
+        """
         self.count += 1
         path = f"{self.root}/{self.count:03d}"
         df.write.options(**{f"parquet.enable.dictionary#{c}": "false" for c in hashes}).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a table that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if folder.split("://")[-1].lstrip("/").startswith(self.root.split("://")[-1].split(":")[-1].lstrip("/")):
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(conf).delete(path, True)
+        found = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(found)] = (found, path)
+        self.drop(*done)
+        return found
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that no later step reads."""
+        for df in tables:
+            kept = self._paths.pop(id(df), None)
+            if kept:
+                delete(self.spark, kept[1])
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sweep(spark: SparkSession, docs: DataFrame) -> None:
+    """Deletes what earlier operators of the session wrote, but for folders that docs reads from.
+
+    For chains of operators whose results are written before the next one begins: what they left is read no more.
+    """
+    read = {f.split(":", 1)[-1].lstrip("/") for f in docs.inputFiles()}
+    for owner, root in list(Scratch.roots):
+        if owner is spark and not any(f.startswith(root.split(":", 1)[-1].lstrip("/") + "/") for f in read):
+            delete(spark, root)
+            Scratch.roots.remove((owner, root))

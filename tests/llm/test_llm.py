@@ -145,7 +145,7 @@ def test_line_dedup_shingles_at_every_character(spark, documents):
     expected = without_repeats(rows, line_dedup.SHORTEST)
     assert expected[10_002] == "Nothing of this line stands in any other place."
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark, df).collect()} == expected
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark, df, line_dedup.SHORTEST).collect()} == expected
 
 
 def test_short_lines_are_deduplicated(spark):
