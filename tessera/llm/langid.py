@@ -10,75 +10,89 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Components of a vector; slots that letters are hashed to; labelled documents that a language's profile takes, on average.
-DIMS, SLOTS, SAMPLE = 1024, 255, 2000
-#: Languages beyond which a model is refused: profiles are sent to every task.
-MOST_LANGUAGES = 2000
+from .columns import Given
+from .wordhash import U64, mix, slices
+
+#: Components of a vector; labelled documents that a language's profile takes, on average.
+DIMS, SAMPLE = 1024, 2000
+#: Languages beyond which a model is refused, as these are no languages: profiles (4 kB each) are sent to every task.
+MOST_LANGUAGES = 20_000
 SHARPNESS = 25.0
 #: Powers of two of the beginnings that bounds are taken from; the share of their median cosine that a text needs.
 EXPONENTS, LOOSE = range(2, 11), 0.25
 
 
 @lru_cache(maxsize=1)
-def _slots() -> np.ndarray:
-    """For each code point 0 if it is no letter, else its slot."""
-    points = np.arange(0x110000)
-    letter = np.array([chr(p).isalpha() for p in range(0x110000)])
-    return np.where(letter, 1 + points * 2654435761 % 4294967296 * SLOTS // 4294967296, 0).astype(np.uint8)
+def _letter() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.array([chr(p).isalpha() for p in range(0x110000)])
 
 
-@lru_cache(maxsize=1)
-def _letters() -> np.ndarray:
-    """A random vector of +1 and -1 for each slot; a non-letter has one as well."""
-    return np.random.Generator(np.random.PCG64(19)).choice(np.array([-1, 1], np.float32), (SLOTS + 1, DIMS))
+def letter_vectors(points: np.ndarray) -> np.ndarray:
+    """A random vector of +1 and -1 for each code point, made from it alone; 0 stands for whatever is no letter."""
+    words = mix(mix(points.astype(U64) + U64(19))[:, None] + np.arange(1, DIMS // 64 + 1, dtype=np.uint64) * U64(0x9E3779B97F4A7C55))
+    return np.unpackbits(words.view(np.uint8).reshape(len(points), DIMS // 8), axis=1).astype(np.float32) * 2 - 1
 
 
-_bound: dict[int, int] = {}
+_bound: dict[tuple[int, int, int], int] = {}
 _table = np.zeros((0, DIMS), np.float32)
 
 
 def _vectors(grams: np.ndarray) -> np.ndarray:
-    """Vectors of trigrams: letter vectors, rotated by their place, multiplied.  Keeps those of frequent use."""
+    """Vectors of trigrams, (m, 3) code points: letter vectors, rotated by their place, multiplied.  Keeps those of frequent use."""
     global _table
-    missing = [g for g in grams.tolist() if g not in _bound]
+    keys = list(map(tuple, grams.tolist()))
+    missing = [g for g in keys if g not in _bound]
     if missing:
         if len(_bound) + len(missing) > 24_000:
             _bound.clear()
             _table = np.zeros((0, DIMS), np.float32)
-            missing = grams.tolist()
-        g, base = np.array(missing), _letters()
-        made = np.roll(base, 2, axis=1)[g >> 16] * np.roll(base, 1, axis=1)[g >> 8 & 255] * base[g & 255]
+            missing = keys
+        points, at = np.unique(np.array(missing), return_inverse=True)
+        base, at = letter_vectors(points), at.reshape(-1, 3)
+        made = np.roll(base, 2, axis=1)[at[:, 0]] * np.roll(base, 1, axis=1)[at[:, 1]] * base[at[:, 2]]
         _bound.update((x, len(_table) + k) for k, x in enumerate(missing))
         _table = np.concatenate([_table, made])
-    return _table[[_bound[g] for g in grams.tolist()]]
+    return _table[[_bound[g] for g in keys]]
 
 
 def bundles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors of texts, sums of their trigrams' vectors, and which texts have a letter."""
-    joined = "\n".join(t.lower() if t else "" for t in texts)
-    lengths = np.array([len(t.lower()) if t else 0 for t in texts], np.int64) + 1
-    symbols = _slots()[np.frombuffer((joined + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
-    owner = np.repeat(np.arange(len(texts)), lengths)
-    before, after = np.concatenate([[0], symbols[:-1]]), np.concatenate([symbols[1:], [0]])
+    """Unit vectors of texts (up to 128), sums of their trigrams' vectors, and which texts have a letter."""
+    lowered = [t.lower() if t else "" for t in texts]
+    points = np.frombuffer(("\n".join(lowered) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner = np.repeat(np.arange(len(texts)), np.array([len(t) + 1 for t in lowered], np.int64))
+    # Numbers of the letters that occur here: three of them and the text's fit a long.
+    letters = np.where(_letter()[points], points, 0)
+    seen = np.zeros(0x110000, dtype=bool)
+    seen[letters] = True
+    seen[0] = True
+    used = np.flatnonzero(seen)
+    bits = U64(int(len(used)).bit_length())
+    number = np.zeros(0x110000, np.uint64)
+    number[used] = np.arange(len(used))
+    symbols = number[letters]
+    before, after = np.concatenate([[U64(0)], symbols[:-1]]), np.concatenate([symbols[1:], [U64(0)]])
     inside = symbols > 0
-    pairs, counts = np.unique(owner[inside] << 24 | before[inside] << 16 | symbols[inside] << 8 | after[inside], return_counts=True)
+    grams = (before[inside] << bits | symbols[inside]) << bits | after[inside]
+    pairs, counts = np.unique(owner[inside].astype(U64) << U64(3) * bits | grams, return_counts=True)
     out = np.zeros((len(texts), DIMS), np.float32)
     if len(pairs):
-        grams, column = np.unique(pairs & 0xFFFFFF, return_inverse=True)
+        low = (U64(1) << U64(3) * bits) - U64(1)
+        grams, column = np.unique(pairs & low, return_inverse=True)
+        row, one = (pairs >> U64(3) * bits).astype(np.int64), (U64(1) << bits) - U64(1)
+        triples = np.stack([used[(grams >> U64(k) * bits & one).astype(np.int64)] for k in (2, 1, 0)], axis=1)
         for i in range(0, len(grams), 12_000):  # a few at a time: a long text has many
             here = (column >= i) & (column < i + 12_000)
             weights = np.zeros((len(texts), min(12_000, len(grams) - i)), np.float32)
-            weights[pairs[here] >> 24, column[here] - i] = counts[here]
-            out += weights @ _vectors(grams[i : i + 12_000])
+            weights[row[here], column[here] - i] = counts[here]
+            out += weights @ _vectors(triples[i : i + 12_000])
     norms = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.maximum(norms, 1e-12), np.bincount(owner[inside], minlength=len(texts)) > 0
 
 
-def _groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def _groups(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Parts of a batch with up to 128 texts and about a million characters."""
-    from .wordhash import slices
-
-    for i, j in slices(batch["text"]):
+    for i, j in slices(batch[text]):
         for k in range(i, j, 128):
             yield batch.slice(k, min(128, j - k))
 
@@ -106,7 +120,7 @@ def train(labelled: DataFrame, order: Column, sample: int = SAMPLE) -> tuple[lis
         return [], np.zeros((0, DIMS), np.float32)
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample / n))])
     chosen = labelled.filter(F.pmod(F.xxhash64(order, F.lit("sample")), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-    parts = chosen.select("text", "lang").repartition(8).mapInArrow(_profiles, "lang string, profile array<double>").collect()
+    parts = chosen.select("text", "lang").repartition(len(counts), "lang").mapInArrow(_profiles, "lang string, profile array<double>").collect()
     sums: dict[str, np.ndarray] = {}
     for r in sorted(parts, key=lambda r: (r["lang"], r["profile"])):
         sums[r["lang"]] = sums.get(r["lang"], 0) + np.array(r["profile"])
@@ -131,7 +145,7 @@ def floors(labelled: DataFrame, order: Column, profiles: np.ndarray) -> dict[int
         return {}
     share = min(1.0, 4 * SAMPLE / max(1, labelled.count()))
     chosen = labelled.filter(F.pmod(F.xxhash64(order, F.lit("floor")), F.lit(1 << 30)) < int(share * (1 << 30)))
-    found = chosen.select("text").repartition(8).mapInArrow(partial(_beginnings, profiles), "k int, cosine double")
+    found = chosen.select("text").mapInArrow(partial(_beginnings, profiles), "k int, cosine double")
     return {r["k"]: LOOSE * r["c"] for r in found.groupBy("k").agg(F.percentile_approx("cosine", 0.5).alias("c")).collect()}
 
 
@@ -141,10 +155,10 @@ def _least(least: dict[int, float], text: str | None) -> float:
     return least.get(min(letters.bit_length() - 1, EXPONENTS[-1]), -2.0)
 
 
-def _predict(langs: list[str], profiles: np.ndarray, least: dict[int, float], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _predict(langs: list[str], profiles: np.ndarray, least: dict[int, float], text: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in _groups(batch):
-            texts = part["text"].to_pylist()
+        for part in _groups(batch, text):
+            texts = part[text].to_pylist()
             vectors, has = bundles(texts)
             cosines = vectors @ profiles.T if langs else np.full((len(has), 1), -1.0)
             best = cosines.argmax(axis=1)
@@ -159,20 +173,24 @@ def _predict(langs: list[str], profiles: np.ndarray, least: dict[int, float], ba
             yield pa.RecordBatch.from_arrays([*kept, *columns], names=[*part.schema.names, "lang_pred", "score", "cosine"])
 
 
-def identify(spark: SparkSession, docs: DataFrame, trains: Column, keep: list[str], bounded: bool = False) -> DataFrame:
-    """The columns `keep` of docs, with lang_pred, score (0 to 1, of the prediction) and cosine (to its profile).
+def identify(spark: SparkSession, docs: DataFrame, trains: Column, keep: list[str] | None = None, bounded: bool = False) -> DataFrame:
+    """The columns `keep` of docs (all without it), then lang_pred, score (0 to 1, of the prediction) and cosine (to its profile).
 
     docs has doc_id, text and lang.  Profiles are learned from rows with `trains` true and a lang; a null counts as
     false.  A null text, one without a letter, and any text if nothing was learned, are `und` with score 0.  Whole
-    texts are used.  If bounded, a text under the floor for its number of letters is `und` as well.  Repeated rows give repeated results; no rows, no result rows.
+    texts are used.  If bounded, a text under the floor for its number of letters is `und` as well.  Kept columns may
+    have any name; an added one whose name is among theirs gets an underscore behind it.  Repeated rows give repeated
+    results; no rows, no result rows.
     """
-    labelled = docs.filter(F.coalesce(trains, F.lit(False)) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs, profiles = train(labelled.select("text", F.col("lang").cast("string").alias("lang"), "doc_id"), F.col("doc_id"))
+    labelled = docs.filter(F.coalesce(trains, F.lit(False)) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", F.col("lang").cast("string").alias("lang"), "doc_id")
+    langs, profiles = train(labelled, F.col("doc_id"))
     least = floors(labelled, F.col("doc_id"), profiles) if bounded else {}
-    columns = list(dict.fromkeys([*keep, "text"]))
-    given = docs.select(*columns)
-    schema = ", ".join(f"`{c}` {t}" for c, t in given.dtypes) + ", lang_pred string, score double, cosine double"
-    return given.mapInArrow(partial(_predict, langs, profiles, least), schema).select(*keep, "lang_pred", "score", "cosine")
+    given = Given(docs.select(*(F.col(f"`{c}`") for c in docs.columns if keep is None or c in keep)))
+    text = given.name("text") if "text" in given.names else "text"
+    read = given.df if "text" in given.names else Given(docs.select(*(F.col(f"`{c}`") for c in given.names), "text")).df.withColumnRenamed(f"in_{len(given.names)}", "text")
+    schema = ", ".join(f"{c} {t}" for c, t in read.dtypes) + ", lang_pred string, score double, cosine double"
+    found = read.mapInArrow(partial(_predict, langs, profiles, least, text), schema)
+    return given.back(found, added={c: F.col(c) for c in ("lang_pred", "score", "cosine")})
 
 
 def fold(modulus: int) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,15 +33,16 @@ class Scratch:
     A lost executor costs a re-read of these files, never a recomputation of earlier steps.
     """
 
-    #: Folders that this session's operators wrote and nobody has deleted yet.
-    roots: list[tuple[SparkSession, str]] = []
+    #: Lists that get the folders made while they are watched.
+    watched: list[list[str]] = []
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
         self._paths: dict[int, tuple[DataFrame, str]] = {}
-        Scratch.roots.append((spark, self.root))
+        for made in Scratch.watched:
+            made.append(self.root)
 
     def table(self, df: DataFrame, hashes: tuple[str, ...] = (), done: tuple[DataFrame, ...] = ()) -> DataFrame:
         """The rows of df, read back from a written table; hashes: Parquet paths of columns for which a dictionary is of no use.
@@ -67,13 +70,22 @@ def delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def sweep(spark: SparkSession, docs: DataFrame) -> None:
-    """Deletes what earlier operators of the session wrote, but for folders that docs reads from.
-
-    For chains of operators whose results are written before the next one begins: what they left is read no more.
-    """
-    read = {f.split(":", 1)[-1].lstrip("/") for f in docs.inputFiles()}
-    for owner, root in list(Scratch.roots):
-        if owner is spark and not any(f.startswith(root.split(":", 1)[-1].lstrip("/") + "/") for f in read):
-            delete(spark, root)
-            Scratch.roots.remove((owner, root))
+@contextmanager
+def made_here(found: list[str]) -> Iterator[None]:
+    """Adds to a list the folders of operators that are called meanwhile."""
+    Scratch.watched.append(found)
+    try:
+        yield
+    finally:
+        Scratch.watched = [x for x in Scratch.watched if x is not found]
+
+
+def sweep(spark: SparkSession, docs: DataFrame, folders: list[str]) -> list[str]:
+    """Deletes folders of operators whose results have been written; those that docs reads from stay and are returned."""
+    plain = [(f, f.split(":", 1)[-1].lstrip("/") + "/") for f in dict.fromkeys(folders)]
+    read = [f.split(":", 1)[-1].lstrip("/") for f in docs.inputFiles()] if plain else []
+    kept = {f for f, start in plain if any(x.startswith(start) for x in read)}
+    for folder, _ in plain:
+        if folder not in kept:
+            delete(spark, folder)
+    return [f for f, _ in plain if f in kept]
