@@ -317,11 +317,45 @@ def test_targets_are_filled_up():
     assert mix.targets([], [], 1.5, 2) == []
 
 
-def test_splitting_tree_is_exact():
-    quotas = np.array([500, 3, 0, 77])
-    shards = [mix.leaf(quotas, 7, k, 1) for k in range(7)]
-    assert (sum(h for h, _ in shards) == quotas).all()
-    assert (np.cumsum([h for h, _ in shards], axis=0) == [b + h for h, b in shards]).all()
+@pytest.mark.parametrize(("blocks", "quotas"), [([400, 3, 0, 77], [500, 3, 0, 20]), ([10, 11], [20, 22]), ([1, 5], [2, 0])])
+def test_splitting_tree_is_exact(blocks, quotas):
+    shards = [mix.tree(blocks, quotas, 7, k, 1) for k in range(7)]
+    assert [sum(x[s][2] for x in shards) for s in range(len(blocks))] == quotas
+    for s, n in enumerate(blocks):  # disjoint ranges that cover all blocks, each with room for its quota
+        assert [x[s][0] for x in shards] == np.cumsum([0, *(x[s][1] for x in shards)])[:-1].tolist() and sum(x[s][1] for x in shards) == n
+        assert all(x[s][2] <= x[s][1] * -(-quotas[s] // n) for x in shards if n)
+        for k, x in enumerate(shards):
+            drawn = mix.leaf(x, k, 1)
+            uses = Counter(drawn[drawn[:, 0] == s][:, 1].tolist())
+            assert sum(uses.values()) == x[s][2] and not uses or max(uses.values()) - min(uses.values()) <= 1
+    assert mix.draw(np.random.default_rng(1), [5, 0, 3], 8) == [5, 0, 3]
+    assert sum(mix.draw(np.random.default_rng(1), [10**12, 10**10], 10**11)) == 10**11
+
+
+def test_mix_takes_what_the_shards_draw(spark, documents):
+    """Words of each document, by a walk along every source's axis; the shards decide which they are."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    found = {}
+    for shards in (1, 5):
+        mixed = mix.Mix(spark, docs, shards=shards)
+        quotas = [min(2 * r["blocks"], round(r["target"] * r["blocks"] / r["source_size"])) for r in mixed.sources.orderBy("s").collect()]
+        blocks = [r["blocks"] for r in mixed.sources.orderBy("s").collect()]
+        uses = Counter((s, b) for k in range(shards) for s, b, _ in mix.leaf(mix.tree(blocks, quotas, shards, k, mix.SEED), k, mix.SEED).tolist())
+        rows = mixed.documents.orderBy("s", "start").collect()
+        want, at = {}, Counter()
+        for r in rows:
+            assert r["start"] == at[r["s"]] or not r["size"]
+            at[r["s"]] += r["size"]
+            want[r["doc_id"]] = sum(uses[r["s"], ((w + 1) * r["blocks"] - 1) // r["source_size"]] for w in range(r["start"], r["start"] + r["size"]))
+        found[shards] = {r["doc_id"]: r["taken"] for r in mixed.taken().collect()}
+        assert found[shards] == want
+        rows = mixed.sharded().collect()
+        assert len({r["shard"] for r in rows}) == shards
+        for k in range(shards):
+            places = [r["place"] for r in rows if r["shard"] == k]
+            assert places == sorted(places)
+        assert sum(len(words(r["text"])) for r in rows) == sum(want.values())
+    assert found[1] != found[5]
 
 
 def test_mix_meets_targets(spark, documents):
