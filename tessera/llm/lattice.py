@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +16,11 @@ from .scratch import Scratch
 from .wordhash import U64, mix
 
 #: Longest piece that is looked up, in code points; text bytes of a chunk of documents that share a table of words.
-LONGEST, CHUNK = 16, 16_000_000
-#: Added to each piece's expected count, so that no piece of the vocabulary is impossible; steps of re-estimation.
-SMOOTH, STEPS = 3.0, 3
+LONGEST, CHUNK = 16, 8_000_000
+#: Weight of the vocabulary's own scores, in pieces, beside the expected counts; steps of re-estimation.
+PRIOR, STEPS = 100_000.0, 3
+#: Code points of a long word that are taken at once: state that a recursion keeps is that of its last LONGEST places.
+WINDOW = 1 << 16
 END = b"\n"  # the end token; no word holds a line feed
 
 
@@ -49,7 +51,7 @@ def vocabulary(model: str) -> tuple[dict[str, int], np.ndarray, list[int]]:
 class Lattice:
     """All segmentations of words into pieces of a vocabulary; a word begins with the space mark.
 
-    A code point that is no piece is spelled by its bytes' pieces.  Words are taken in batches of equal length.
+    A code point is also spelled by its bytes' pieces.  Words are taken in batches of equal length, all places at once.
     """
 
     _MULT = U64(0x9E3779B97F4A7C55)
@@ -57,45 +59,43 @@ class Lattice:
     def __init__(self, model: str) -> None:
         self.pieces, self.weights, byte = vocabulary(model)
         self.byte = np.array(byte)
-        keys = np.array([int(self._hash(np.frombuffer(p.encode("utf-32-le"), np.uint32)[None, :])[0]) for p in self.pieces], U64)
-        self.bits = U64(64 - 22)
-        self.slot = np.full(1 << 22, -1, np.int32)
-        self.keys = keys
-        self.rest: dict[int, int] = {}
-        for i, (place, number) in enumerate(zip((keys >> self.bits).tolist(), self.pieces.values(), strict=True)):
-            if self.slot[place] < 0:
-                self.slot[place] = i
-            else:
-                self.rest[int(keys[i])] = number
-        self.numbers = np.array(list(self.pieces.values()))
-
-    def _hash(self, points: np.ndarray) -> np.ndarray:
-        h = np.full(len(points), 7, U64)
-        for k in range(points.shape[1]):
-            h = (h ^ points[:, k].astype(U64)) * self._MULT
+        by_length: dict[int, list[str]] = {}
+        for p in self.pieces:
+            by_length.setdefault(len(p), []).append(p)
+        self.keys, self.numbers = [], []
+        for n in range(1, LONGEST + 1):
+            own = by_length.get(n, [])
+            points = np.frombuffer("".join(own).encode("utf-32-le"), np.uint32).reshape(-1, n)
+            keys = self._hashes(points)[n - 1][:, 0] if own else np.zeros(0, U64)
+            order = np.argsort(keys)
+            self.keys.append(keys[order])
+            self.numbers.append(np.array([self.pieces[p] for p in own], np.int32)[order])
+        # A table of sixteen bits of the hash says of most spans that they are no piece.
+        self.may = [np.bincount((k >> U64(48)).astype(np.int64), minlength=1 << 16) > 0 for k in self.keys]
+
+    def _hashes(self, points: np.ndarray) -> Iterator[np.ndarray]:
+        """For 1, 2, ..., LONGEST the hashes of all spans of that length, (m, n - length + 1)."""
+        found = []
+        h = np.full(points.shape, 7, U64)
+        wide = points.astype(U64)
+        for k in range(min(LONGEST, points.shape[1])):
+            h = (h[:, : points.shape[1] - k] ^ wide[:, k:]) * self._MULT
             h ^= h >> U64(29)
-        return mix(h)
+            found.append(mix(h))
+        return found
 
-    def arcs(self, points: np.ndarray) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
-        """For words of n code points each, (m, n): per span [i, j) the rows that have a piece there, and its number."""
-        found = {}
+    def arcs(self, points: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces that begin at each place of words (m, n), by length, (LONGEST, m, n); -1: none."""
         m, n = points.shape
-        for i in range(n):
-            h = np.full(m, 7, U64)
-            for j in range(i + 1, min(n, i + LONGEST) + 1):
-                h = (h ^ points[:, j - 1].astype(U64)) * self._MULT
-                h ^= h >> U64(29)
-                key = mix(h)
-                at = self.slot[(key >> self.bits).astype(np.int64)]
-                ok = (at >= 0) & (self.keys[at] == key)
-                number = self.numbers[at]
-                if self.rest and not ok.all():
-                    for r in np.flatnonzero(~ok & (at >= 0)).tolist():
-                        if int(key[r]) in self.rest:
-                            ok[r], number[r] = True, self.rest[int(key[r])]
-                rows = np.flatnonzero(ok)
-                if len(rows):
-                    found[i, j] = rows, number[rows]
+        found = np.full((LONGEST, m, n), -1, np.int32)
+        for k, h in enumerate(self._hashes(points)):
+            at = np.flatnonzero(self.may[k][(h >> U64(48)).astype(np.int64)])
+            if len(at):
+                key = h.ravel()[at]
+                place = np.minimum(np.searchsorted(self.keys[k], key), len(self.keys[k]) - 1)
+                hit = self.keys[k][place] == key
+                rows, columns = np.divmod(at[hit], h.shape[1])
+                found[k, rows, columns] = self.numbers[k][place[hit]]
         return found
 
     def spelled(self, points: np.ndarray, log: np.ndarray) -> np.ndarray:
@@ -107,40 +107,59 @@ class Lattice:
             cost[p] = log[self.byte[list(chr(p).encode("utf-8", "surrogatepass"))]].sum()
         return cost[points]
 
-    def forward(self, points: np.ndarray, log: np.ndarray, arcs: dict, single: np.ndarray | None = None) -> np.ndarray:
-        """Log of the summed weight of all segmentations of each prefix, (m, n + 1)."""
-        m, n = points.shape
-        single = self.spelled(points, log) if single is None else single
-        f = np.full((m, n + 1), -np.inf)
-        f[:, 0] = 0.0
-        for j in range(1, n + 1):
-            total = f[:, j - 1] + single[:, j - 1]
-            for i in range(max(0, j - LONGEST), j):
-                if (i, j) in arcs:
-                    rows, number = arcs[i, j]
-                    total[rows] = np.logaddexp(total[rows], f[rows, i] + log[number])
-            f[:, j] = total
+    @staticmethod
+    def _weigh(arcs: np.ndarray, single: np.ndarray, log: np.ndarray) -> np.ndarray:
+        """Log weights of arcs by where they end, (n, m, LONGEST): that of the arc of length k + 1 at k."""
+        longest, m, n = arcs.shape
+        ends = np.full((n, m, longest), -np.inf)
+        known = np.append(log, -np.inf)
+        for k in range(min(longest, n)):
+            weight = known[arcs[k, :, : n - k]]
+            ends[k:, :, k] = (np.logaddexp(weight, single) if k == 0 else weight).T
+        return ends
+
+    @staticmethod
+    def _run(ends: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """The recursion over places: log sums (m, LONGEST + n), of which start, (m, LONGEST), are the first ones."""
+        n, m, longest = ends.shape
+        f = np.full((m, longest + n), -np.inf)
+        f[:, :longest] = start
+        for j in range(n):
+            total = f[:, j : j + longest][:, ::-1] + ends[j]
+            top = total.max(axis=1)
+            f[:, longest + j] = top + np.log(np.exp(total - top[:, None]).sum(axis=1))
         return f
 
-    def expected(self, points: np.ndarray, log: np.ndarray, weigh: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-        """Expected number of uses of each piece; weigh gives each word's count from the log weight of the word."""
+    def forward(self, points: np.ndarray, log: np.ndarray) -> np.ndarray:
+        """Log of the summed weight of all segmentations of each word, (m,); a long word is taken window by window."""
+        m, n = points.shape
+        state = np.full((m, LONGEST), -np.inf)
+        state[:, -1] = 0.0
+        for i in range(0, n, WINDOW):
+            back = min(i, LONGEST - 1)  # arcs may begin in the window before
+            part = points[:, i - back : i + WINDOW]
+            ends = self._weigh(self.arcs(part), self.spelled(part, log), log)[back:]
+            state = self._run(ends, state)[:, -LONGEST:]
+        return state[:, -1]
+
+    def expected(self, points: np.ndarray, log: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Expected number of uses of each piece in words that occur `counts` times."""
         arcs, single = self.arcs(points), self.spelled(points, log)
-        f = self.forward(points, log, arcs, single)
         m, n = points.shape
-        counts = weigh(f[:, n])
-        b = np.full((m, n + 1), -np.inf)
-        b[:, n] = 0.0
-        for i in range(n - 1, -1, -1):
-            total = b[:, i + 1] + single[:, i]
-            for j in range(i + 1, min(n, i + LONGEST) + 1):
-                if (i, j) in arcs:
-                    rows, number = arcs[i, j]
-                    total[rows] = np.logaddexp(total[rows], b[rows, j] + log[number])
-            b[:, i] = total
+        ends = self._weigh(arcs, single, log)
+        start = np.full((m, LONGEST), -np.inf)
+        start[:, -1] = 0.0
+        f = self._run(ends, start)[:, LONGEST - 1 :]
+        # Backwards the same recursion runs over arcs by where they begin, from the end.
+        begins = np.full_like(ends, -np.inf)
+        for k in range(min(LONGEST, n)):
+            begins[k:, :, k] = ends[k:, :, k][::-1]
+        b = self._run(begins, start)[:, LONGEST - 1 :][:, ::-1] - f[:, n:]
         out = np.zeros(len(log))
-        b -= f[:, n:]
-        for (i, j), (rows, number) in arcs.items():
-            out += np.bincount(number, counts[rows] * np.exp(f[rows, i] + log[number] + b[rows, j]), len(log))
+        for k in range(min(LONGEST, n)):
+            rows, columns = np.nonzero(arcs[k, :, : n - k] >= 0)
+            number = arcs[k, rows, columns]
+            out += np.bincount(number, counts[rows] * np.exp(f[rows, columns] + log[number] + b[rows, columns + k + 1]), len(log))
         use = counts[:, None] * np.exp(f[:, :-1] + single + b[:, 1:])
         by_point = np.bincount(points.ravel(), use.ravel())
         for p in np.flatnonzero(by_point).tolist():
@@ -159,7 +178,7 @@ def by_length(tokens: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for k, t in enumerate(texts):
         groups.setdefault(len(t), []).append(k)
     for n, places in groups.items():
-        step = max(1, 200_000 // n)
+        step = max(1, 50_000 // n)
         for i in range(0, len(places), step):
             some = places[i : i + step]
             yield np.frombuffer("".join(texts[k] for k in some).encode("utf-32-le"), np.uint32).reshape(-1, n), np.array(some)
@@ -182,69 +201,77 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), END]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of each chunk with their number of uses in training documents."""
+_CODED = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("trains", pa.bool_()), ("said", pa.binary()), ("number", pa.int64()), ("word", pa.binary()), ("c", pa.int64())])
+
+
+def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents as numbers of their chunk's words, and each chunk's words with their uses in training documents.
+
+    A task makes chunks of its own rows as they come, so that no text is shuffled.
+    """
+    chunk = TaskContext.get().partitionId() << 32
+    place: dict[bytes, int] = {}
+    docs: list[tuple[int | None, bool, np.ndarray]] = []
+    size = 0
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        trained = [ids for _, trains, ids in docs if trains]
+        counts = np.bincount(np.concatenate(trained) if trained else np.zeros(0, np.int32), minlength=len(place))
+        for i in range(0, len(docs), 500):
+            some = docs[i : i + 500]
+            none = pa.nulls(len(some), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(some), pa.int64()), pa.array([d for d, _, _ in some], pa.int64()), pa.array([t for _, t, _ in some]), pa.array([x.tobytes() for _, _, x in some], pa.binary()), none, pa.nulls(len(some), pa.binary()), none], schema=_CODED)
+        words = list(place)
+        for i in range(0, len(words), 50_000):
+            some = words[i : i + 50_000]
+            n = len(some)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary()), pa.array(np.arange(i, i + n)), pa.array(some, pa.binary()), pa.array(counts[i : i + n].astype(np.int64))], schema=_CODED)
+
     for batch in batches:
-        by: dict[int, tuple[Counter, set]] = {}
-        for chunk, text, trains in zip(batch["chunk"].to_pylist(), batch["text"].to_pylist(), batch["trains"].to_pylist(), strict=True):
-            counts, seen = by.setdefault(chunk, (Counter(), set()))
-            if trains:
-                counts.update(tokens(text))
-            else:
-                seen.update(tokens(text))
-        for chunk, (counts, seen) in by.items():
-            words = list(counts | dict.fromkeys(seen - counts.keys(), 0))
-            for i in range(0, len(words), 100_000):
-                some = words[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), chunk, np.int64)), pa.array(some, pa.binary()), pa.array([counts[w] for w in some], pa.int64())], names=["chunk", "word", "c"])
-
-
-def _expect(model: str, log: np.ndarray, share: float, n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Expected uses of pieces, and under -1 of whole-word arcs.  A word's own use isn't evidence for its arc."""
+        for doc_id, text, trains in zip(batch["doc_id"].to_pylist(), batch["text"], batch["trains"].to_pylist(), strict=True):
+            said = tokens(text.as_py())
+            docs.append((doc_id, trains, np.array([place.setdefault(w, len(place)) for w in said], np.int32)))
+            size += sum(map(len, said)) + len(said)
+            if size >= CHUNK:
+                yield from rows()
+                chunk, place, docs, size = chunk + 1, {}, [], 0
+    if docs:
+        yield from rows()
+
+
+def _expect(model: str, log: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Expected uses of pieces in words; a word beyond WINDOW code points is taken in parts of that length."""
     made = lattice(model)
-    total, whole = np.zeros(len(log)), 0.0
+    total = np.zeros(len(log))
     for batch in merged(batches):
         c = batch["c"].to_numpy().astype(float)
         for points, places in by_length(batch["word"].to_pylist()):
-            with np.errstate(divide="ignore"):
-                arc = np.log(share * (c[places] - 1) / max(n - 1, 1))
-
-            own, uses = c[places], []
-
-            def weigh(spelled: np.ndarray, own: np.ndarray = own, arc: np.ndarray = arc, uses: list = uses) -> np.ndarray:
-                uses.append(own * (1 - np.exp(arc - np.logaddexp(arc, np.log1p(-share) + spelled))))
-                return uses[0]
-
-            total += made.expected(points, log, weigh)
-            whole += float(own.sum() - uses[0].sum())
+            for i in range(0, points.shape[1], WINDOW):
+                total += made.expected(points[:, i : i + WINDOW], log, c[places])
     used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array([-1, *used.tolist()]), pa.array([whole, *total[used].tolist()])], names=["piece", "uses"])
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["piece", "uses"])
 
 
-def _weigh(model: str, log: np.ndarray, share: float, n: int, stop: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """log10 of each word's probability: its whole-word arc, if training texts have the word, and all its segmentations."""
+def _weigh(model: str, log: np.ndarray, stop: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """log10 of each word's probability: that of all its segmentations, and that the text goes on."""
     made = lattice(model)
     for batch in merged(batches):
-        words, c = batch["word"].to_pylist(), batch["c"].to_numpy()
+        words = batch["word"].to_pylist()
         out = np.zeros(len(words))
         for points, places in by_length(words):
-            spelled = made.forward(points, log, made.arcs(points))[:, -1]
-            with np.errstate(divide="ignore"):
-                arc = np.log(share * c[places] / max(n, 1))
-            out[places] = np.logaddexp(arc, np.log1p(-share) + spelled) + np.log1p(-stop)
+            out[places] = made.forward(points, log) + np.log1p(-stop)
         out[[k for k, w in enumerate(words) if w == END]] = np.log(stop)
         yield from pa.table([batch["word"], batch["c"], pa.array(out / np.log(10))], names=["word", "c", "lp"]).to_batches(max_chunksize=20_000)
 
 
 def _score(n: int, v: int, docs: pa.Table, table: pa.Table) -> pa.Table:
     """A chunk's documents against the chunk's words; base and model scores are sums over tokens."""
-    place = {w: k for k, w in enumerate(table["word"].to_pylist())}
-    c, lp = table["c"].to_numpy(), table["lp"].to_numpy()
+    order = np.argsort(table["number"].to_numpy())
+    c, lp = table["c"].to_numpy()[order], table["lp"].to_numpy()[order]
     base = np.log10((c + 1) / (n + v + 1))
     sums: list[tuple[int, int, float, float]] = []
-    for text in docs["text"]:
-        said = tokens(text.as_py())
-        at = np.fromiter(map(place.__getitem__, said), np.int64, len(said))
+    for said in docs["said"]:
+        at = np.frombuffer(said.as_py(), np.int32)
         sums.append((len(at), int((c[at] > 0).sum()), float(base[at].sum()), float(lp[at].sum())))
     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     columns = [pa.array(x, k) for x, k in zip(zip(*sums, strict=True), kinds, strict=True)] if sums else [pa.array([], k) for k in kinds]
@@ -255,42 +282,37 @@ def score(spark: SparkSession, docs: DataFrame, trains: Column, model: str = "pi
     """Base and lattice scores of each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     docs has doc_id and text; other columns are ignored.  The text's probability is the product over its words of the
-    summed probability of all segmentations into pieces (pieces don't cross words), times the end's.  The vocabulary and
-    its first weights are the model file's; a word of the training texts has one more arc, over all of it.  STEPS
-    expectation steps over all training words re-estimate the pieces' weights and the share of whole-word arcs.
-    Rows with `trains` false or null are held out.  A null or empty text is the end alone.  Words meet their counts by
-    chunk: documents are dealt by a hash into chunks of about CHUNK bytes, and a chunk's distinct words are joined with
-    the corpus table once.  Repeated rows give repeated results; no rows, no result rows.
+    summed probability of all segmentations into pieces (pieces don't cross words), times the end's.  The vocabulary's
+    own scores are the prior of the pieces' weights, which STEPS expectation steps over all training words estimate.
+    Rows with `trains` false or null, as where doc_id is null, are held out.  A null or empty text is the end alone; a
+    word may have any length, in time in proportion to it.  Texts aren't shuffled: each task codes its documents by the
+    words of a chunk of about CHUNK bytes, and a chunk's distinct words are joined with the corpus table once.
+    Repeated rows give repeated results; no rows, no result rows.
     """
     scratch = Scratch(spark, "lattice")
     given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(trains, F.lit(False)).alias("trains"))
-    total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunk = F.pmod(F.xxhash64("doc_id", F.length("text"), F.lit("chunk")), F.lit(max(1, -(-total // CHUNK))))
-    given = given.withColumn("chunk", chunk)
-    counted = given.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_count, "chunk long, word binary, c long")
-    local = scratch.table(counted.groupBy("chunk", "word").agg(F.sum("c").alias("c")))
+    coded = scratch.table(given.mapInArrow(_code, "chunk long, doc_id long, trains boolean, said binary, number long, word binary, c long"))
+    local = coded.filter("word is not null").select("chunk", "number", "word", "c")
     words = scratch.table(local.groupBy("word").agg(F.sum("c").alias("c")))
     known = words.filter("c > 0")
     n, v, ends = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("c"))), F.lit(0))).first()
     spelled = known.filter(F.col("word") != F.lit(END))
     # Words end by chance: after each word the text goes on or ends, in the shares of the training texts.
-    stop, running = (ends + 1) / (n + 2), int(n - ends)
-    log, share = vocabulary(model)[1], 0.5
-    for _ in range(STEPS if running else 0):
-        uses = spelled.mapInArrow(partial(_expect, model, log, share, running), "piece long, uses double")
-        expected = np.full(len(log), SMOOTH)
+    stop = (ends + 1) / (n + 2)
+    prior = vocabulary(model)[1]
+    log = prior
+    for _ in range(STEPS if n > ends else 0):
+        uses = spelled.mapInArrow(partial(_expect, model, log), "piece long, uses double")
+        expected = PRIOR * np.exp(prior)
         for r in uses.groupBy("piece").agg(F.sum("uses").alias("uses")).collect():  # as many rows as the vocabulary at most
-            if r["piece"] < 0:
-                share = min(max(round(r["uses"] / running, 9), 1e-6), 1 - 1e-6)
-            else:
-                expected[r["piece"]] += r["uses"]
+            expected[r["piece"]] += r["uses"]
         log = np.round(np.log(expected / expected.sum()), 9)
-    weighed = words.mapInArrow(partial(_weigh, model, log, share, running, float(stop)), "word binary, c long, lp double")
-    table = local.select("chunk", "word").join(weighed, "word").select("chunk", "word", "c", "lp")
-    marked = given.select("chunk", "doc_id", "text", (~F.col("trains")).alias("held_out"))
+    weighed = words.mapInArrow(partial(_weigh, model, log, float(stop)), "word binary, c long, lp double")
+    table = local.drop("c").join(weighed, "word").select(F.col("chunk").alias("of"), "number", "c", "lp")
+    marked = coded.filter("said is not null").select("chunk", "doc_id", "said", (~F.col("trains")).alias("held_out"))
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         return _score(int(n), int(v), left, right)
 
-    out = marked.groupBy("chunk").cogroup(table.groupBy("chunk")).applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = marked.groupBy("chunk").cogroup(table.groupBy("of")).applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")

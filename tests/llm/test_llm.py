@@ -450,24 +450,59 @@ def test_lattice_sums_all_segmentations():
             f[j] += sum(f[i] * np.exp(log[pieces[text[i:j]]]) for i in range(max(0, j - lattice.LONGEST), j) if text[i:j] in pieces)
         return np.log(f[-1])
 
-    for points, places in lattice.by_length(words_ := [b"the", b"there", b"zq\xc3\xa9x", "日本".encode(), b"and"]):
-        got = made.forward(points, log, made.arcs(points))[:, -1]
-        assert got == pytest.approx([total("▁" + words_[k].decode()) for k in places.tolist()])
-        uses = made.expected(points, log, lambda s: np.ones(len(s)))
+    words_ = [b"the", b"there", b"zq\xc3\xa9x", "日本".encode(), b"and", b"abcdefghij" * 30]
+    for points, places in lattice.by_length(words_):
+        wanted = [total("▁" + words_[k].decode()) if len(words_[k]) < 300 else None for k in places.tolist()]
+        if None not in wanted:
+            assert made.forward(points, log) == pytest.approx(wanted)
+        uses = made.expected(points, log, np.ones(len(points)))
         lengths = sum(uses[n] * len(p) for p, n in pieces.items()) + sum(uses[b] for b in byte)
         assert lengths >= points.size * 0.999
 
 
+def test_lattice_takes_long_words_in_windows(monkeypatch):
+    made = lattice.Lattice("piece_bpe_32k.model")
+    word = "".join(random.Random(4).choice("abcdeéthin日") for _ in range(700))
+    points = next(iter(lattice.by_length([word.encode()])))[0]
+    whole = made.forward(points, made.weights)
+    monkeypatch.setattr(lattice, "WINDOW", 64)
+    assert made.forward(points, made.weights) == pytest.approx(whole)
+
+
 def test_lattice_scores(spark, documents, odd, empty):
     trains = {d for d, _ in documents if zlib.crc32(str(d).encode()) % 7 != 2}
     counts = Counter(t for d, x in documents if d in trains for t in lattice.tokens(x))
     n, v = sum(counts.values()), len(counts)
+    # Weights and scores by plain sums over segmentations, piece by piece.
+    pieces, prior, byte = lattice.vocabulary("piece_bpe_32k.model")
+    made, log = lattice.Lattice("piece_bpe_32k.model"), prior
+    trained = [t for t in counts if t != lattice.END]
+    for _ in range(lattice.STEPS):
+        expected = lattice.PRIOR * np.exp(prior)
+        for points, places in lattice.by_length(trained):
+            expected += made.expected(points, log, np.array([float(counts[trained[k]]) for k in places.tolist()]))
+        log = np.log(expected / expected.sum())
+    stop = (counts[lattice.END] + 1) / (n + 2)
+
+    def log_probability(word):
+        text = "▁" + word.decode("utf-8", "replace")
+        f = [0.0] + [-np.inf] * len(text)
+        for j in range(1, len(text) + 1):
+            ways = [f[j - 1] + log[[byte[b] for b in text[j - 1].encode()]].sum()]
+            ways += [f[i] + log[pieces[text[i:j]]] for i in range(max(0, j - lattice.LONGEST), j) if text[i:j] in pieces]
+            f[j] = np.logaddexp.reduce(ways)
+        return f[-1] + np.log1p(-stop)
+
+    scores = {}
+    for d, x in documents[:12]:
+        scores[d] = sum(np.log(stop) if t == lattice.END else log_probability(t) for t in lattice.tokens(x)) / np.log(10)
     got = {r["doc_id"]: r for r in queries.op8_lattice(spark, FOLDER).collect()}
     for d, x in documents:
         said = lattice.tokens(x)
         r = got[d]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (d not in trains, len(said), sum(counts[t] > 0 for t in said), n)
         assert r["base_score"] == pytest.approx(sum(np.log10((counts[t] + 1) / (n + v + 1)) for t in said)) and r["score"] < 0
+        assert d not in scores or r["score"] == pytest.approx(scores[d], rel=1e-6)
     found = lattice.score(spark, odd, langid.fold(7) != 2).collect()
     assert len(found) == len(ODD) and all(np.isfinite(r["score"]) for r in found)
     assert lattice.score(spark, empty, langid.fold(7) != 2).count() == 0
