@@ -142,6 +142,7 @@ class Media:
 
     tracks: dict[int, dict] = field(default_factory=dict)
     packets: list[tuple[int, float, int, int, bool, int]] = field(default_factory=list)
+    errors: list[str] = field(default_factory=list)
     cues: list[tuple[float, int, int]] = field(default_factory=list)
     clusters: int = 0
 
@@ -150,7 +151,8 @@ def parse(data: bytes) -> Media:
     """Tracks, packets and cues of a Matroska file; laced frames share their block's time unless the track is PCM.
 
     Elements of unknown kind are skipped, clusters and segments may have the unknown size, and a file that is cut
-    off gives the packets that are whole.  A file without an EBML head raises ValueError.
+    off gives the packets that are whole.  An element whose content makes no sense is skipped and noted in `errors`.
+    A file without an EBML head raises ValueError.
     """
     found = Media()
     if data[:4] != EBML.to_bytes(4, "big"):
@@ -189,64 +191,81 @@ def parse(data: bytes) -> Media:
             continue
         if end > len(data):
             break
-        if kind in (SIMPLE_BLOCK, BLOCK):
-            n, head = read_vint(data, at)
-            flags = data[head + 2]
-            time = cluster_time + int.from_bytes(data[head : head + 2], "big", signed=True)
-            entry = found.tracks.get(n, {})
-            rate = entry.get("rate") if str(entry.get("codec", "")).startswith("A_PCM") else None
-            grain = entry.get("channels", 1) * entry.get("bits", 8) / 8 * (rate or 1) / 1000
-            passed = 0
-            for offset, length in unlace(data, head + 3, end, flags >> 1 & 3):
-                shift = passed / grain if rate else 0.0
-                found.packets.append((n, time * scale / 1e6 + shift, offset, length, bool(flags & 0x80) or kind == BLOCK, cluster))
-                passed += length
-        elif kind == TIMESTAMP:
-            cluster_time = number(at, end)
-        elif kind == TIMESTAMP_SCALE:
-            scale = number(at, end)
-        elif kind == TRACK_NUMBER:
-            found.tracks[number(at, end)] = track
-        elif kind == TRACK_TYPE:
-            track["type"] = number(at, end)
-        elif kind == CODEC_ID:
-            track["codec"] = data[at:end].decode("ascii", "replace")
-        elif kind == SAMPLING_FREQUENCY:
-            track["rate"] = float(np.frombuffer(data[at:end], f">f{end - at}")[0])
-        elif kind in (CHANNELS, BIT_DEPTH):
-            track["channels" if kind == CHANNELS else "bits"] = number(at, end)
-        elif kind == CUE_TIME:
-            cue["time"] = number(at, end) * scale / 1e6
-        elif kind == CUE_TRACK:
-            cue["track"] = number(at, end)
-        elif kind == CUE_CLUSTER_POSITION:
-            found.cues.append((cue.get("time", 0.0), cue.get("track", 0), segment + number(at, end)))
+        try:
+            if kind in (SIMPLE_BLOCK, BLOCK):
+                n, head = read_vint(data, at)
+                flags = data[head + 2]
+                time = cluster_time + int.from_bytes(data[head : head + 2], "big", signed=True)
+                entry = found.tracks.get(n, {})
+                if head + 3 > end:
+                    raise ValueError("a block without a head")
+                rate = entry.get("rate") if str(entry.get("codec", "")).startswith("A_PCM") else None
+                grain = max(1, entry.get("channels", 1)) * max(1, entry.get("bits", 8)) / 8 * (rate or 1) / 1000
+                passed = 0
+                for offset, length in unlace(data, head + 3, end, flags >> 1 & 3):
+                    shift = passed / grain if rate else 0.0
+                    found.packets.append((n, time * scale / 1e6 + shift, offset, length, bool(flags & 0x80) or kind == BLOCK, cluster))
+                    passed += length
+            elif kind == TIMESTAMP:
+                cluster_time = number(at, end)
+            elif kind == TIMESTAMP_SCALE:
+                scale = number(at, end)
+            elif kind == TRACK_NUMBER:
+                found.tracks[number(at, end)] = track
+            elif kind == TRACK_TYPE:
+                track["type"] = number(at, end)
+            elif kind == CODEC_ID:
+                track["codec"] = data[at:end].decode("ascii", "replace")
+            elif kind == SAMPLING_FREQUENCY:
+                if end - at not in (4, 8):
+                    raise ValueError("a number of neither four nor eight bytes")
+                rate = float(np.frombuffer(data[at:end], f">f{end - at}")[0])
+                track["rate"] = rate if 0 < rate < 1e9 else None
+            elif kind in (CHANNELS, BIT_DEPTH):
+                track["channels" if kind == CHANNELS else "bits"] = number(at, end)
+            elif kind == CUE_TIME:
+                cue["time"] = number(at, end) * scale / 1e6
+            elif kind == CUE_TRACK:
+                cue["track"] = number(at, end)
+            elif kind == CUE_CLUSTER_POSITION:
+                found.cues.append((cue.get("time", 0.0), cue.get("track", 0), segment + number(at, end)))
+        except (ValueError, IndexError, OverflowError) as e:
+            found.errors.append(f"element {kind:x} at byte {begin}: {e}")
         at = end
     return found
 
 
 def packet_table(media: DataFrame, key: str = "doc_id", content: str = "media") -> DataFrame:
-    """A row for each packet of each file: key, track, codec, time_ms, offset, size, keyframe, cluster, cued.
+    """A row for each packet of each file: key, track, codec, time_ms, offset, size, keyframe, cluster, cued, error.
 
-    Null contents and contents that aren't EBML give no rows; columns other than the two are ignored.
+    A null content gives no rows.  A content that isn't EBML gives one row with nothing but key and error, and each
+    damaged element of a file one as well; the file's other packets are read.  Columns other than the two are ignored.
     """
     kind = dict(media.dtypes)[key]
+    names = ["key", "track", "codec", "time_ms", "offset", "size", "keyframe", "cluster", "cued", "error"]
+    most = (1 << 63) - 1
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_(), pa.string()]
         for batch in batches:
             for k, data in zip(batch["key"], batch["content"], strict=True):
                 raw = data.as_py()
-                if raw is None or raw[:4] != EBML.to_bytes(4, "big"):
+                if raw is None:
                     continue
-                found = parse(raw)
+                try:
+                    found = parse(raw)
+                except ValueError as e:
+                    found = Media(errors=[str(e)])
                 cued = {c[2] for c in found.cues}
-                if found.packets:
-                    n, time, offset, size, keyframe, cluster = (list(x) for x in zip(*found.packets, strict=True))
-                    columns = [pa.array([k.as_py()] * len(n), batch["key"].type), pa.array(n, pa.int64()), pa.array([found.tracks.get(x, {}).get("codec") for x in n], pa.string()), pa.array(time, pa.float64()), pa.array(offset, pa.int64()), pa.array(size, pa.int64()), pa.array(keyframe), pa.array(cluster, pa.int64()), pa.array([c in cued for c in cluster])]
-                    yield pa.RecordBatch.from_arrays(columns, names=["key", "track", "codec", "time_ms", "offset", "size", "keyframe", "cluster", "cued"])
-
-    schema = f"key {kind}, track long, codec string, time_ms double, offset long, size long, keyframe boolean, cluster long, cued boolean"
-    return media.select(F.col(key).alias("key"), F.col(content).cast("binary").alias("content")).mapInArrow(rows, schema).withColumnRenamed("key", key)
+                made = [(min(n, most), found.tracks.get(n, {}).get("codec"), time, offset, size, keyframe, cluster, cluster in cued, None) for n, time, offset, size, keyframe, cluster in found.packets]
+                made += [(*[None] * 8, e) for e in found.errors]
+                for i in range(0, len(made), 20_000):
+                    some = made[i : i + 20_000]
+                    columns = [pa.array(c, t) for c, t in zip(zip(*some, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(some), batch["key"].type), *columns], names=names)
+
+    schema = f"key {kind}, track long, codec string, time_ms double, offset long, size long, keyframe boolean, cluster long, cued boolean, error string"
+    return media.select(F.col(f"`{key}`").alias("key"), F.col(f"`{content}`").cast("binary").alias("content")).mapInArrow(rows, schema).withColumnRenamed("key", key)
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -197,6 +197,6 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
     marked = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("quality"))
     n = marked.count()
     chosen = marked.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < F.lit(min(1.0, sample / max(n, 1)) * (1 << 30)))
-    rows = measured.join(F.broadcast(chosen), "doc_id").orderBy("doc_id").toPandas()
+    rows = measured.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", *STATISTICS).toPandas()
     trees = fit(features(rows[STATISTICS].to_numpy().reshape(-1, len(STATISTICS))), rows["quality"].to_numpy())
     return measured.mapInArrow(partial(_score, trees), columns + ", base_failed boolean, kept boolean, quality double")

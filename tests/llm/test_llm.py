@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tests.compare import duck, spark_rows
 
 from tessera.llm import html_text, langid, lattice, line_dedup, matroska, minhash, mix, pack, quality, queries
@@ -410,6 +411,22 @@ def test_unequal_laces_and_unknown_sizes():
     assert len(matroska.parse(bytes(media)).packets) == 1200
 
 
+def test_damaged_files_leave_their_neighbours_alone(spark):
+    rng = random.Random(9)
+    files = []
+    for k in range(600):
+        media = bytearray(matroska.write_pcm(rng.randbytes(192 * 20), ["xiph", "ebml", "fixed", "none"][k % 4]))
+        for _ in range(rng.randint(1, 6)):
+            media[rng.randrange(4, len(media))] = rng.randrange(256)
+        files.append((k, bytes(media[: rng.randrange(1, len(media))] if k % 5 == 0 else media)))
+    whole = matroska.write_pcm(b"q" * 192)
+    df = spark.createDataFrame([*files, (1000, whole), (1001, b"no media"), (1002, None)], "doc_id long, media binary").withColumn("key", F.lit(1))
+    rows = matroska.packet_table(df).collect()
+    assert [(r["size"], r["error"]) for r in rows if r["doc_id"] == 1000] == [(192, None)]
+    assert [(r["size"], r["error"]) for r in rows if r["doc_id"] == 1001] == [(None, "not an EBML file")] and not any(r["doc_id"] == 1002 for r in rows)
+    assert any(r["error"] for r in rows if r["doc_id"] < 1000)
+
+
 def test_stored_media(spark, odd, empty):
     got = [r.asDict() for r in matroska.stored_media(odd).collect()]
     for r, row in zip(sorted(got, key=lambda r: (r["doc_id"] or 0, r["n_bytes"])), sorted(ODD, key=lambda r: (r[0] or 0, len(r[1] or ""))), strict=True):
