@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from html import unescape
 
@@ -14,6 +15,8 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: Elements whose content is no markup; all but a title's and a text area's is no text either, and those aren't article text.
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes", "svg", "math", "canvas", "object", "audio", "video", "select", "button", "head"}
+#: Of these, an end tag that is missing swallows the rest of the page; the start tag of another is ignored then.
+_SWALLOW = {"script", "style", "textarea", "title", "xmp"}
 _OUT = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _BLOCKS = _OUT | _HEADINGS | set("html body header main article section div p ul ol li dl dt dd table thead tbody tfoot tr caption blockquote pre figure figcaption address details summary center hgroup".split())
@@ -24,7 +27,12 @@ _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "for
 #: Words of a class or id that mark what never belongs to an article, and what doesn't unless the name also says content.
 _NEVER = set("ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promoted promotion comment comments disqus reply replies respond cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login signin share sharing social related recommended recommendations breadcrumb breadcrumbs pager pagination copyright paywall".split())
 _SELDOM = set("sidebar menu nav navbar navigation header masthead topbar footer notice notices banner widget widgets toolbar skip tags legal disclaimer alert".split())
-_CONTENT = set("content article main post entry body story text page wrapper container with has no layout".split())
+_CONTENT = set("content article main post entry body story text page wrapper container layout".split())
+#: Class names that begin or end like this say what an element has, lacks or is filed under, not what it is.
+_ABOUT, _STATE = set("has no with without is js category cat tag type format status template single".split()), set("open closed enabled disabled on off free count".split())
+#: Names of what stays out even where no other text is left, and the tags of which the same holds.
+_ASIDE = set("comment comments disqus reply replies respond cookie cookies consent gdpr popup modal newsletter subscribe subscription".split())
+_FIRM = {"nav", "footer", "aside", "menu", "dialog"}
 _STOP = frozenset(
     # Frequent function words of English, German, French and Spanish.
     """the of and to in a is that it for was on are as with his they at be this have from or one had by not but what all were we when your can said there use an each which she do how their if will
@@ -36,18 +44,39 @@ _WORD = re.compile(r"[^\W\d_]+")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Stop-word share, and characters, from which a block is surely text; share of linked characters from which it isn't.
 DENSE, LONG, LINKED = 0.22, 60, 0.5
+#: Share of known stop words in a page's long blocks under which its language is none of those listed.
+KNOWN = 0.22
+#: Characters of dense text that an element has to hold to be taken for the article in spite of its name, where no other is left.
+ENOUGH = 400
+
+
+def _named(value: str) -> set[str]:
+    """Words of class names or an id, but for names that only say what the element has or is filed under."""
+    found: set[str] = set()
+    for name in value.split():
+        words = [w.lower() for w in _NAME.findall(name)]
+        if words and not (len(words) > 1 and (words[0] in _ABOUT or words[-1] in _STATE)):
+            found.update(words)
+    return found
 
 
 def _excluded(tag: str, attributes: str, inside: bool) -> str:
-    """'' if the element may hold article text, 'never' if not, 'seldom' if not unless an article begins within."""
+    """'' if the element may hold article text, 'firm' or 'never' if not, 'seldom' if not unless an article begins within.
+
+    What is 'never' is taken back where it holds all of the page's dense text; what is 'firm' is not.
+    """
+    if tag in _FIRM:
+        return "firm"
     if tag in _OUT or tag == "header" and not inside:
-        return "seldom" if tag == "header" else "never"
+        return "seldom"
     if not attributes.strip() or tag in ("html", "body", "main"):
         return ""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     if found.get("role", "").lower() in _ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
-        return "never"
-    names = {w.lower() for key in ("class", "id") for w in _NAME.findall(found.get(key, ""))}
+        return "firm"
+    names = _named(found.get("class", "")) | _named(found.get("id", ""))
+    if names & _ASIDE:
+        return "firm"
     if names & _NEVER:
         return "never"
     if names & _SELDOM and not names & _CONTENT and tag != "article":
@@ -56,23 +85,25 @@ def _excluded(tag: str, attributes: str, inside: bool) -> str:
 
 
 def blocks(html: str) -> list[dict]:
-    """The page's blocks in order: text, linked characters, whether in an article, excluded, and heading."""
+    """The page's blocks in order: text, linked characters, whether in an article, and the elements that exclude it.
+
+    `out` has a (number, kind) for each of these elements; without any, the block isn't excluded.
+    """
     found: list[dict] = []
-    stack: list[tuple[str, str, int]] = []  # tag, why excluded, articles open before it
-    articles, linked = 0, False
+    stack: list[tuple[str, str, int, int]] = []  # tag, why excluded, articles open before it, number
+    articles, linked, number = 0, False, 0
     parts: list[str] = []
     link_chars = 0
-    heading_in_header = False
 
     def flush() -> None:
         nonlocal link_chars
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out = any(x[1] for x in stack)
-                if not out and not heading_in_header and any(x[0] == "header" for x in stack):
-                    out = True
-                found.append({"text": text, "linked": link_chars, "article": articles > 0, "out": out, "heading": any(x[0] in _HEADINGS for x in stack)})
+                out = [(x[3], x[1]) for x in stack if x[1]]
+                if not out and not any(x[0] in _HEADINGS for x in stack):
+                    out = [(x[3], "seldom") for x in stack if x[0] == "header"]
+                found.append({"text": text, "linked": link_chars, "article": articles > 0, "out": out})
             parts.clear()
         link_chars = 0
 
@@ -103,7 +134,7 @@ def blocks(html: str) -> list[dict]:
                 end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(html, at)
                 if end:
                     at = end.end()
-                elif tag != "head":
+                elif tag in _SWALLOW:
                     at = size
         elif tag == "a":
             linked = not closing
@@ -132,58 +163,91 @@ def blocks(html: str) -> list[dict]:
                 if attributes.endswith("/") and tag not in ("p", "div"):
                     continue
                 why = _excluded(tag, attributes, articles > 0)
+                number += 1
                 if tag in ("article", "main") and not why:
-                    if all(x[1] != "never" for x in stack):  # an article within what merely looked like a header or side
-                        stack[:] = [(t, "", n) for t, _, n in stack]
-                stack.append((tag, why, articles))
+                    if all(x[1] in ("", "seldom") for x in stack):  # an article within what merely looked like a header, side or form
+                        stack[:] = [(t, "", n, k) for t, _, n, k in stack]
+                stack.append((tag, why, articles, number))
                 articles += tag in ("article", "main") and not any(x[1] for x in stack)
-            heading_in_header = any(x[0] in _HEADINGS for x in stack)
     flush()
     return found
 
 
-def main_text(html: str | None) -> str:
-    """The article's blocks, joined by two line feeds; empty for a null or empty page and for one without article."""
-    if not html:
-        return ""
-    page = blocks(html)
+def _stop_share(text: str) -> float:
+    words = _WORD.findall(text.lower())
+    return sum(w in _STOP for w in words) / max(1, len(words))
+
+
+def _classify(page: list[dict]) -> list[bool | None]:
+    """The first pass: True for what is text by length, stop words and links, False for what isn't, None where that is open.
+
+    Where the page's long blocks hardly have a known stop word, their language is none of those listed, and length and
+    links decide.
+    """
+    for b in page:
+        b["chars"] = len(b["text"].replace(" ", ""))
+        b["stop"] = _stop_share(b["text"])
+    long = [b for b in page if len(b["text"]) >= LONG and b["linked"] <= LINKED * b["chars"]]
+    weight = sum(b["chars"] for b in long)
+    known = not long or sum(b["stop"] * b["chars"] for b in long) >= KNOWN * weight
     bounded = any(b["article"] and not b["out"] for b in page)
     labels: list[bool | None] = []
     for b in page:
-        words = _WORD.findall(b["text"].lower())
-        stop = sum(w in _STOP for w in words) / max(1, len(words))
         inside = b["article"]
-        chars = len(b["text"].replace(" ", ""))
-        if b["out"] or bounded and not inside or b["linked"] > LINKED * chars:
+        dense = len(b["text"]) >= LONG and (b["stop"] >= (DENSE / 2 if inside else DENSE) if known else b["linked"] <= LINKED / 2 * b["chars"])
+        b["dense"] = dense and b["linked"] <= LINKED * b["chars"]
+        if b["out"] or bounded and not inside or b["linked"] > LINKED * b["chars"]:
             labels.append(False)
-        elif len(b["text"]) >= LONG and stop >= (DENSE / 2 if inside else DENSE):
+        elif dense:
             labels.append(True)
-        elif not inside and len(b["text"]) >= 4 * LONG and stop < DENSE / 4:
+        elif known and not inside and len(b["text"]) >= 4 * LONG and b["stop"] < DENSE / 4:
             labels.append(False)
         else:
             labels.append(None)
-    # The second pass: of the decided blocks in the same kind of place, the nearer gives its label.
-    before: list[tuple[int, bool] | None] = []
-    last: dict[bool, tuple[int, bool]] = {}
+    return labels
+
+
+def _take_back(page: list[dict]) -> bool:
+    """Whether exclusions by name were lifted: those around most of the dense text, if none of it is left elsewhere."""
+    held: dict[tuple, int] = {}
+    for b in page:
+        if b["dense"] and not any(kind == "firm" for _, kind in b["out"]):
+            chain = tuple(n for n, _ in b["out"])
+            held[chain] = held.get(chain, 0) + len(b["text"])
+    if not held or () in held or max(held.values()) < ENOUGH:
+        return False
+    lifted = set(max(held, key=lambda chain: held[chain]))
+    for b in page:
+        b["out"] = [x for x in b["out"] if x[0] not in lifted]
+    return True
+
+
+def main_text(html: str | None) -> str:
+    """The article's blocks, joined by two line feeds; empty for a null or empty page and for one without article."""
+    if not html:
+        return ""
+    page = blocks(html)
+    labels = _classify(page)
+    if True not in labels and _take_back(page):
+        labels = _classify(page)
+    # The second pass: of the decided blocks in the same kind of place, the nearest gives its label.
+    decided: dict[bool, list[int]] = {True: [], False: []}
     for i, (b, label) in enumerate(zip(page, labels, strict=True)):
-        before.append(last.get(b["article"]))
         if label is not None and not (b["article"] and b["out"]):
-            last[b["article"]] = (i, label)
-    last = {}
-    for i in range(len(page) - 1, -1, -1):
-        b, label = page[i], labels[i]
+            decided[b["article"]].append(i)
+    kept = []
+    for i, (b, label) in enumerate(zip(page, labels, strict=True)):
         if label is None:
-            near = [x for x in (before[i], last.get(b["article"])) if x]
-            if b["article"]:
-                page[i]["keep"] = not near or any(x[1] for x in near)
-            else:
-                close = min((abs(x[0] - i) for x in near), default=0)
-                page[i]["keep"] = bool(near) and all(x[1] for x in near if abs(x[0] - i) == close)
-        else:
-            page[i]["keep"] = label
-            if not (b["article"] and b["out"]):
-                last[b["article"]] = (i, label)
-    return "\n\n".join(b["text"] for b in page if b["keep"])
+            own = decided[b["article"]]
+            k = bisect(own, i)
+            near = own[max(0, k - 1) : k + 1]
+            least = min((abs(x - i) for x in near), default=0)
+            votes = [labels[x] for x in near if abs(x - i) == least]
+            # Neighbours that are equally near and disagree: within an article it is text, elsewhere not.
+            label = (any(votes) or not votes) if b["article"] else bool(votes) and all(votes)
+        if label:
+            kept.append(b["text"])
+    return "\n\n".join(kept)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,6 +263,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Where a page has an article or main element, only what stands in one counts.  Navigation, headers, footers, asides,
     forms, notices, adverts and reader comments are left out by element, role, class and id; so are scripts and styles.
+    A form, header or side around an article is none, and a name that would leave no dense text at all is not believed.
+    Of a page in a language without listed stop words, length and links decide.  Whole pages are read, of any length.
     A null or empty page has an empty text; repeated rows give repeated results; no rows, no result rows.
     """
     given = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))

@@ -199,6 +199,52 @@ def test_blocks_without_an_article_follow_their_neighbours():
     assert html_text.main_text(page) == f"{good}\n\nYes.\n\n{good}"
 
 
+GOOD = "It was the best of times, and it was the worst of times, as all of us have been told in the book."
+ITALIAN = "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, che la diritta via era smarrita e perduta."
+CHINESE = "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。" * 3
+
+
+@pytest.mark.parametrize(
+    ("before", "after", "body"),
+    [
+        ('<div class="no-ads">', "</div>", GOOD),
+        ('<article class="post category-social-media">', "</article>", GOOD),
+        ('<article class="post comments-open">', "</article>", GOOD),
+        ('<main><div class="content has-overlay">', "</div></main>", GOOD),
+        ('<form id="aspnetForm"><main>', "</main></form>", GOOD),
+        ('<div class="promo-page related">', "</div>", GOOD),
+        ("<div>", "</div>", ITALIAN),
+        ("<div>", "</div>", CHINESE),
+        ("<div><button>Menu<object>", "</div>", GOOD),
+    ],
+)
+def test_names_and_languages_do_not_cost_the_article(before, after, body):
+    page = f"<body><nav><a href=1>Home</a></nav>{before}<p>{body}</p><p>{body} 2</p><p>{body} 3</p><p>{body} 4</p><p>{body} 5</p>{after}<footer>Imprint</footer></body>"
+    expected = "\n\n".join([body, *(f"{body} {k}" for k in range(2, 6))])
+    assert html_text.main_text(page).removeprefix("Menu\n\n") == expected
+
+
+def test_what_looks_like_text_beside_an_article_stays_out():
+    notice = "<div class='cookie-banner'><p>" + f"{GOOD} " * 9 + "</p></div>"
+    said = "<div id='comments'><p>" + f"{GOOD} " * 9 + "</p></div>"
+    assert html_text.main_text(f"{notice}<div class='story'><p>{GOOD}</p></div>{said}") == GOOD
+    assert html_text.main_text(f"{notice}{said}<a href=1>Home</a>") == ""
+
+
+def test_short_blocks_follow_the_nearest_decided_block():
+    links = "<ul><li><a href=1>First of the other stories</a></li><li><a href=2>Second of the other stories</a></li></ul>"
+    page = f"<article><h1>Title</h1><p>{GOOD}</p><p>Yes.</p><p>So.</p><p>More from us</p>{links}<p>{GOOD}</p></article>"
+    assert html_text.main_text(page) == f"Title\n\n{GOOD}\n\nYes.\n\nSo.\n\n{GOOD}"
+
+
+def test_pages_of_odd_rows(spark):
+    rows = [(1, "u", None, 0), (2, "u", "", 0), (3, None, f"<p>{GOOD}</p>", 0), (3, None, f"<p>{GOOD}</p>", 0), (None, "u", "<p>" + f"{GOOD} " * 20_000 + "</p>", 0)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text long")
+    got = sorted((r["page_id"] or 0, r["url"], r["n_chars"]) for r in html_text.extract(df).collect())
+    assert got == sorted([(0, "u", (len(GOOD) + 1) * 20_000 - 1), (1, "u", 0), (2, "u", 0), (3, None, len(GOOD)), (3, None, len(GOOD))], key=lambda r: r[0])
+    assert html_text.extract(df.filter("page_id > 9")).count() == 0
+
+
 def test_pages_keep_their_articles(spark):
     got = queries.op1_html(spark, FOLDER).collect()
     assert len(got) == spark.read.parquet(f"{FOLDER}/pages.parquet").count()
