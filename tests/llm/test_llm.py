@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tests.compare import duck, spark_rows
 
-from tessera.llm import html_text, langid, lattice, line_dedup, matroska, minhash, mix, pack, quality, queries
+from tessera.llm import html_text, langid, lattice, line_dedup, matroska, minhash, mix, pack, quality, queries, scratch
 from tessera.llm.chat import format_chats
 
 FOLDER = "/root/testdata/sf0.001"
@@ -571,9 +571,109 @@ def test_lattice_scores(spark, documents, odd, empty):
     assert lattice.score(spark, empty, langid.fold(7) != 2).count() == 0
 
 
+# Columns of any name, and models against plain loops.
+
+
+CLASHING = "key node comp row lid place line gone parts edges first stop shard copy uid run epoch block size score lang_pred cosine n_lines n_kept group k grouped c s in_0 out_0 said word trains chunk left".split()
+
+
+@pytest.fixture(scope="module")
+def clashing(spark, odd):
+    return odd.withColumns({c: F.lit(f"own {c}") for c in CLASHING}).withColumn("with.dot and blank", F.lit(1))
+
+
+def kept_whole(df, given):
+    assert df.columns[: len(given.columns)] == given.columns
+    rows = df.collect()
+    assert all(r[c] == f"own {c}" for r in rows for c in CLASHING)
+    return rows
+
+
+def test_columns_that_pass_may_have_any_name(spark, clashing):
+    import corpus_pipeline
+
+    found = line_dedup.dedup_lines(spark, clashing, 1)
+    assert found.columns[-2:] == ["n_lines_", "n_kept_"] and len(kept_whole(found, clashing)) == len(ODD)
+    found = langid.identify(spark, clashing, langid.fold(3) != 1)
+    assert found.columns[-3:] == ["lang_pred_", "score_", "cosine_"] and len(kept_whole(found, clashing)) == len(ODD)
+    assert len(kept_whole(minhash.one_of_each(spark, clashing, 2), clashing)) == 8
+    mixed = mix.Mix(spark, clashing)
+    assert kept_whole(mixed.texts(), clashing) and mixed.sharded().columns[-2:] == ["shard_", "place_"]
+    docs = clashing
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, FOLDER).cache()
+        assert docs.columns == clashing.columns and kept_whole(docs, clashing)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).count() > 0
+
+
+def test_other_operators_ignore_further_columns(spark, clashing):
+    plain = clashing.select("doc_id", "text")
+    for f in (lambda d: pack.pack(d.coalesce(1), with_ids=False), matroska.stored_media, lambda d: lattice.score(spark, d, F.lit(True)), lambda d: minhash.near_duplicates(spark, d, 2)):
+        assert sorted(map(repr, f(clashing).collect())) == sorted(map(repr, f(plain).collect()))
+    labels = spark.createDataFrame([(4, 1, "x"), (8, 0, "x")], "doc_id long, quality int, n_words string")
+    assert quality.judge(spark, clashing, labels).count() == len(ODD)
+    turns = spark.createDataFrame([(1, 0, "user", "hi", 5, 6)], "conv_id long, turn long, role string, text string, pos long, block long")
+    assert format_chats(spark, turns).count() == 1
+    pages = spark.createDataFrame([(1, "u", "<p>x</p>", 3)], "page_id long, url string, html string, n_chars long")
+    assert html_text.extract(pages).count() == 1
+
+
+def test_bundles_equal_naive_binding():
+    texts = ["Straße 7, été!", "日本語の文", "aaa", None, "12 !?", "ж ы"]
+    vectors, has = langid.bundles(texts)
+    for text, vector, ok in zip(texts, vectors, has.tolist(), strict=True):
+        total = np.zeros(langid.DIMS)
+        own = [ord(c) if c.isalpha() else 0 for c in (text or "").lower()]
+        for before, here, after in zip([0, *own], own, [*own[1:], 0], strict=False):
+            if here:
+                a, b, c = (langid.letter_vectors(np.array([x]))[0] for x in (before, here, after))
+                total += np.roll(a, 2) * np.roll(b, 1) * c
+        assert ok == bool(total.any())
+        assert vector == pytest.approx(total / max(np.linalg.norm(total), 1e-12), abs=1e-5)
+
+
+def test_node_arrays_equal_a_walk_down_the_trees():
+    rng = np.random.default_rng(6)
+    x = rng.random((700, len(quality.FEATURES)))
+    trees = quality.Trees(quality.MONOTONE, rounds=12).fit(x, (x[:, 2] + x[:, 5] > 1).astype(float))
+    want = []
+    for row in x.tolist():
+        total = trees.base
+        for at in trees.roots:
+            while trees.nodes[at][0] >= 0:
+                feature, cut, left, right, _ = trees.nodes[at]
+                at = left if row[feature] <= cut else right
+            total += trees.nodes[at][4]
+        want.append(1 / (1 + np.exp(-total)))
+    assert trees.probability(x) == pytest.approx(want)
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark):
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)  # noqa: N815
+
+    class Session:
+        sparkContext = Context  # noqa: N815
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch.shared_dir(Session)
+
+
 # The pipeline.
 
 
+def test_near_duplicates_of_the_pipeline_equal_brute_force(spark, documents):
+    """Five-word shingles, as the stage takes them: every link of similarity 0.8 or more, and no other, decides."""
+    import corpus_pipeline
+
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()) for d, t in documents for w in [words(t.encode().lower().decode())]}
+    groups = components(sets, lambda n, union: 100 * n >= 80 * union)
+    got = corpus_pipeline.distinct_documents(spark, spark.read.parquet(f"{FOLDER}/documents.parquet"), FOLDER)
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(d for d, c in groups.items() if c == d)
+
+
 def test_pipeline(spark, odd):
     import corpus_pipeline
 
