@@ -19,6 +19,23 @@ from .scratch import Scratch
 
 #: Members of a group or family that a task compares with as many others.
 SLICE = 500
+#: Bits of the filter that goes before a join: 16 MB at most, whatever the tables hold.
+BITS = 1 << 27
+
+
+def among(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Rows of df that may have one of the longs `wanted` (its first column), before a shuffle brings them together.
+
+    A bitmap of hashes, of at most BITS bits, goes to all tasks.  It lets rows through that the join then drops, but holds
+    back none that it keeps; with very many longs it holds back few.  The join that follows has to be an inner one, as
+    Spark would push a semi-join below the filter.
+    """
+    place = lambda c: F.pmod(F.xxhash64(F.lit("bit"), c), F.lit(BITS))
+    bits = wanted.select(place(F.col(wanted.columns[0])).alias("p")).select(F.expr("p div 32768").alias("bucket"), (F.col("p") % 32768).alias("bit"))
+    maps = F.broadcast(bits.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map")))
+    held = df.withColumn("p", place(F.col(column))).withColumns({"bucket": F.expr("p div 32768"), "bit": (F.col("p") % 32768).cast("int")}).join(maps, "bucket")
+    byte = F.conv(F.hex(F.substring("map", F.expr("bit div 8").cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return held.filter((byte.bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0)).select(*df.columns)
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -85,11 +102,12 @@ def near_components(
     apart_by: Callable[[Column, Column], Column],
     most: int,
     scratch: Scratch,
+    expand: Callable[[Column], Column] = lambda c: c,
 ) -> DataFrame:
     """Components (node, comp) of the nodes that have a link.
 
-    nodes: (node, q); keys: (key, node), both with or without repeats; sets_of(df of node) gives (node, items).  A link is a pair that
-    shares a key, whose q are at most `most` apart by apart_by (a metric, or 0 just for
+    nodes: (node, q); keys: (key, node), both with or without repeats; sets_of(df of node) gives (node, items), of which
+    expand makes the set where it is compared.  A link is a pair that shares a key, whose q are at most `most` apart by apart_by (a metric, or 0 just for
     pairs that share a key), and whose full sets are `percent` similar.
     """
     def described(df: DataFrame, side: str) -> DataFrame:
@@ -99,9 +117,9 @@ def near_components(
     # First, every group's nodes against its smallest.
     low = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("high")).filter("a < high").select("key", "a")
     low = scratch.table(low)
-    pairs = scratch.table(keys.withColumnRenamed("node", "b").join(low, "key").filter("a < b").distinct(), done=(low,))
+    pairs = scratch.table(among(keys.withColumnRenamed("node", "b"), "key", low).join(low, "key").filter("a < b").distinct(), done=(low,))
     met = scratch.table(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
-    nodes = scratch.table(nodes.join(met, "node", "left_semi").dropDuplicates(["node"]), done=(met,))
+    nodes = scratch.table(among(nodes, "node", met).join(met, "node").dropDuplicates(["node"]), done=(met,))
     first = described(described(pairs.select("a", "b").distinct(), "a"), "b").select("a", "b", apart.alias("d"))
     first = scratch.table(first.filter(F.col("d") <= 2 * most))
     # Then what is far from it against about the square root of its number.  A pair (a, b) with at most `most`
@@ -131,7 +149,7 @@ def near_components(
 
     near = stars.filter(F.col("d") <= most).select("a", "b")
     near = near.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
-    links = scratch.table(near.filter(similar(F.col("x"), F.col("y"), percent)).select("a", "b"))
+    links = scratch.table(near.filter(similar(expand(F.col("x")), expand(F.col("y")), percent)).select("a", "b"))
     comps = components(links, scratch)
     families = components(stars.select("a", "b"), scratch)
     scratch.drop(stars)
@@ -142,7 +160,7 @@ def near_components(
     split = split.select("family", F.col("main.comp").alias("main"), _slices(F.col("size")).alias("inners"), F.greatest(F.lit(1), _slices(F.col("size") - F.col("main.count"))).alias("outers"))
     split = scratch.table(split)
     members = placed.join(split, "family").join(nodes, "node").join(sets, "node")
-    members = scratch.table(members.select("family", "node", "comp", "q", "items", "inners", "outers", (F.col("comp") == F.col("main")).alias("inner")), done=(placed, split, sets, nodes))
+    members = scratch.table(members.select("family", "node", "comp", "q", expand(F.col("items")).alias("items"), "inners", "outers", (F.col("comp") == F.col("main")).alias("inner")), done=(placed, split, sets, nodes))
     inner = members.withColumn("outer_slice", _each("outers"))
     inner = inner.select("family", "outer_slice", F.pmod("node", "inners").alias("inner_slice"), *(F.col(c).alias(f"m_{c}") for c in ("node", "comp", "q", "items", "inner")))
     outer = members.filter("not inner").withColumn("inner_slice", _each("inners")).withColumn("outer_slice", F.pmod(F.xxhash64("node"), "outers")).drop("inners", "outers", "inner")
