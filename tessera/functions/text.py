@@ -51,7 +51,7 @@ def jaccard(left: Column, right: Column) -> Column:
 def content_id(prefix: Column, index: Column, kind: Column, sources: Column, text: Column) -> Column:
     """An id of a chunk from its document, place and content."""
     digest = F.sha2(F.concat_ws("\n", kind, F.concat_ws("\n", sources), text), 256)
-    return F.concat(prefix.cast("string"), F.lit("-c"), F.lpad(index.cast("string"), 4, "0"), F.lit("-"), F.substring(digest, 1, 10))
+    return F.concat(prefix.cast("string"), F.lit("-c"), F.lpad(index.cast("string"), F.greatest(F.length(index.cast("string")), F.lit(4)), F.lit("0")), F.lit("-"), F.substring(digest, 1, 10))
 
 
 def page_display(pages: Column) -> Column:
@@ -62,20 +62,13 @@ def page_display(pages: Column) -> Column:
     return F.when(F.size(own) == 0, F.lit(None)).when(F.size(own) == 1, F.concat(F.lit("PDF p. "), first)).when(run, F.concat(F.lit("PDF pp. "), first, F.lit("–"), last)).otherwise(F.concat(F.lit("PDF pp. "), F.array_join(own.cast("array<string>"), ", ")))
 
 
-def looks_like_intro(text: Column) -> Column:
-    """Whether a text announces what follows it."""
-    flat = F.lower(squeeze(text))
-    return flat.rlike(r":$") | flat.rlike(r"\b(the following|as follows)\b") | flat.rlike(r"\b(includes?|comprises?|consists of|sets out)\b.*:")
-
-
-# Phrases that announce what follows them.
+# Phrases, and shapes of a lower-cased text, that announce what follows.
 ANNOUNCING = ["following authorities", "following information", "following categories"]
+SHAPES = [r":$", r"(?s)\bentails?\b.*\b(two|three|four|five|\d+)\b.*:", r"(?s)\b(includes?|comprises?|consists of|sets out)\b.*:"]
 
 
 def announces(text: Column) -> Column:
     """Whether a chunk's text introduces its neighbours; false if it is null."""
     flat = F.lower(F.trim(text))
-    said = [flat.contains(p) for p in ANNOUNCING]
-    shapes = [r":$", r"(?s)\bentails?\b.*\b(two|three|four|five|\d+)\b.*:", r"(?s)\b(includes?|comprises?|consists of|sets out)\b.*:"]
-    found = said + [flat.rlike(s) for s in shapes]
+    found = [flat.contains(p) for p in ANNOUNCING] + [flat.rlike(s) for s in SHAPES]
     return F.coalesce(F.array_contains(F.array(*found), True), F.lit(False))

@@ -79,3 +79,84 @@ def duplicated(code: str, df: DataFrame, key: str) -> DataFrame:
     """Ids that occur more than once."""
     many = df.groupBy(key).count().filter("count > 1")
     return many.select(F.lit(code).alias("code"), F.lit("error").alias("severity"), F.col(key).cast("string").alias("subject"))
+
+
+def score_context(context: DataFrame, gold: DataFrame, cuts: tuple[int, ...] = CUTS) -> DataFrame:
+    """score_ranking of an assembled context (query_id, item_id, source_rank): an item is there at k from its source rank on."""
+    return score_ranking(context.select("query_id", "item_id", F.col("source_rank").alias("rank")), gold, cuts)
+
+
+def answer_errors(responses: DataFrame) -> DataFrame:
+    """Broken contracts of responses: response_id and errors.
+
+    responses: response_id, status, n_claims, n_citations, markers (array of long), named and cited (arrays of evidence
+    ids).  An abstention has neither claims nor citations, and nothing else of it is looked at; markers run from 1 without
+    a gap; what claims name is what is cited.
+    """
+    quiet = F.col("status") == "insufficient_evidence"
+    empty = F.array_compact(F.array(F.when(F.col("n_claims") > 0, "abstention_with_claims"), F.when(F.col("n_citations") > 0, "abstention_with_citations")))
+    run = F.sequence(F.lit(1).cast("long"), F.greatest(F.size("markers"), F.lit(1)).cast("long"))
+    full = F.array_compact(
+        F.array(
+            F.when(~F.col("status").isin("answered", "insufficient_evidence") | F.col("status").isNull(), "unknown_status"),
+            F.when(F.col("n_claims") == 0, "answer_without_claims"),
+            F.when(F.col("n_citations") != F.size("markers"), "citation_count"),
+            F.when((F.size("markers") > 0) & (F.array_sort("markers") != run), "marker_run"),
+            F.when(F.size(F.array_except("named", "cited")) > 0, "claim_not_cited"),
+            F.when(F.size(F.array_except("cited", "named")) > 0, "citation_without_claim"),
+            F.when(F.size("cited") != F.size(F.array_distinct("cited")), "repeated_citation"),
+        )
+    )
+    return responses.select("response_id", F.when(quiet, empty).otherwise(full).alias("errors"))
+
+
+def semantic_scores(labels: DataFrame) -> DataFrame:
+    """Completeness and relevance of each question from labels (query_id, kind, label).
+
+    Points are covered (1), partial (a half) or missing; relevance is labelled 0, 1 or 2.  Null without labels of a kind.
+    """
+    point, rated = F.col("kind") == "point", F.col("kind") == "relevance"
+    worth = F.when(F.col("label") == "covered", 1.0).when(F.col("label") == "partial", 0.5).otherwise(0.0)
+    sums = labels.groupBy("query_id").agg(F.count_if(point).alias("points"), F.avg(F.when(point, worth)).alias("c"), (F.avg(F.when(rated, F.col("label").try_cast("double"))) / 2).alias("r"))
+    return sums.select("query_id", "points", F.round("c", 6).alias("completeness"), F.round("r", 6).alias("relevance"))
+
+
+def label_errors(labels: DataFrame, questions: DataFrame) -> DataFrame:
+    """Faults of labels (query_id, kind, label): of no known question, outside the kind's domain, or given twice."""
+    known = labels.join(questions.select("query_id", F.lit(True).alias("known")).distinct(), "query_id", "left")
+    domain = F.when(F.col("kind") == "point", F.col("label").isin("covered", "partial", "missing")).when(F.col("kind") == "relevance", F.col("label").isin("0", "1", "2")).otherwise(False)
+    code = F.when(F.col("known").isNull(), "unknown_question").when(~F.coalesce(domain, F.lit(False)), "label_outside_domain")
+    doubled = labels.groupBy("query_id", "kind").count().filter("kind = 'relevance' and count > 1").select("query_id", "kind", F.lit("label_given_twice").alias("code"))
+    return known.select("query_id", "kind", code.alias("code")).filter("code is not null").unionByName(doubled)
+
+
+def golden(specs: DataFrame, elements: DataFrame) -> DataFrame:
+    """Whether expectations hold: specs (spec_id, doc_id, kind, match, wanted, exact_case, expected count) against elements.
+
+    Elements of the document and kind are counted whose text matches; an expectation without any element counts 0.
+    """
+    from tessera.functions.markers import text_match
+
+    met = specs.join(elements.select("doc_id", "kind", "place", "text"), ["doc_id", "kind"], "left")
+    hit = F.coalesce(text_match(F.col("text"), F.col("match"), F.col("wanted"), F.col("exact_case")), F.lit(False))
+    counts = met.groupBy("spec_id", "expected").agg(F.count_if(hit).alias("found"))
+    return counts.select("spec_id", "expected", "found", (F.col("expected") == F.col("found")).alias("passed"))
+
+
+def failure_flags(scores: DataFrame, wanted: str | None = None) -> DataFrame:
+    """query_id and flags of scores (hit_1, hit_10, complete_10, rr); with `wanted`, only rows that have that flag."""
+    flags = F.array_compact(F.array(F.when(F.col("hit_10") == 0, "missed"), F.when((F.col("hit_10") > 0) & (F.col("hit_1") == 0), "late"), F.when(F.col("complete_10") == 0, "incomplete"), F.when(F.col("rr") < 0.5, "low_rank")))
+    found = scores.select("query_id", flags.alias("flags"))
+    return found.filter(F.array_contains("flags", wanted)) if wanted else found
+
+
+def variants(runs: DataFrame) -> DataFrame:
+    """Averages of an experiment's runs (variant, query_id, union_size, reciprocal_rank) for each variant."""
+    return runs.groupBy("variant").agg(F.count("*").alias("n"), F.round(F.avg("union_size"), 6).alias("union_size"), F.round(F.avg("reciprocal_rank"), 6).alias("mrr"))
+
+
+def split_allowed(split: str, frozen: bool, confirmation: str | None, token: str) -> bool:
+    """Whether a split may be scored: the held-out one needs a frozen configuration and the exact confirmation."""
+    if split not in ("dev", "heldout"):
+        raise ValueError(f"no such split: {split}")
+    return split == "dev" or (frozen and confirmation == token)

@@ -5,23 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Levels that an ancestry may have; a longer one is reported as a cycle.
-DEEPEST = 32
-
+from tessera.sources.shared import kept
 
 def paths(nodes: DataFrame) -> DataFrame:
-    """id, path (titles from the root) and depth of nodes (id, parent_id, title); nodes on a cycle have no path.
+    """id, path (titles from the root) and depth of nodes (id, parent_id, title), of any depth; nodes on a cycle have no path.
 
-    Each round joins the next level, so the number of rounds is the depth of the hierarchy, not its size.
+    Each round joins the next level, so the number of rounds is the depth of the hierarchy, not its size.  What hangs
+    from a cycle is never reached from a root, so the rounds end.
     """
+    nodes = kept(nodes, "nodes")
     level = nodes.filter("parent_id is null").select("id", F.array("title").alias("path"))
     found = level
-    for _ in range(DEEPEST):
-        level = nodes.join(level.select(F.col("id").alias("parent_id"), "path"), "parent_id").select("id", F.concat("path", F.array("title")).alias("path"))
+    while True:
+        level = kept(nodes.join(level.select(F.col("id").alias("parent_id"), "path"), "parent_id").select("id", F.concat("path", F.array("title")).alias("path")), "level")
         if level.isEmpty():
-            break
+            return found.select("id", "path", F.size("path").alias("depth"))
         found = found.unionByName(level)
-    return found.select("id", "path", F.size("path").alias("depth"))
 
 
 def islands(marks: DataFrame, group: str, place: str) -> DataFrame:

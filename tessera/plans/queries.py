@@ -2,29 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import QUERY_STOPWORDS, TOKEN, lexical_terms, squeeze, token_estimate
 from tessera.operators import chunking, evaluation, evidence, graph, retrieval
+from tessera.plans.registry import QUERIES, SQL, query
 from tessera.sources.ingest import manifest_differences, table
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
+from tessera.sources.shared import kept
 
 _STOP = ", ".join(f"'{w}'" for w in QUERY_STOPWORDS)
 _SQUEEZE = "trim(regexp_replace(replace({0}, chr(173), ''), '[\\t\\n\\f\\r ]+', ' ', 'g'))"
@@ -122,8 +107,8 @@ def _stages(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """Lists of each question; the vector with the question's number stands in for the question's own."""
     questions = _questions(spark, d)
     asked = _vectors(spark, d).join(questions.select(F.col("query_id").alias("item_id")), "item_id", "left_semi").withColumnRenamed("item_id", "query_id")
-    dense = retrieval.dense_search(asked, _vectors(spark, d), 20)
-    lexical = retrieval.lexical_search(questions, _texts(spark, d))
+    dense = kept(retrieval.dense_search(asked, _vectors(spark, d), 20), "dense")
+    lexical = kept(retrieval.lexical_search(questions, _texts(spark, d)), "lexical")
     return {"dense": dense, "lexical": lexical, "fused": retrieval.fuse(dense, lexical)}
 
 
@@ -165,7 +150,8 @@ _UNITS = f"""lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw
 
 
 def _units(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.units(table(spark, d, "documents").select("doc_id", "text"))
+    """Written once: decisions read them for each unit and for the texts that repeat."""
+    return kept(chunking.units(table(spark, d, "documents").select("doc_id", "text")), "units")
 
 
 @query(f"WITH {_UNITS} SELECT text, docs, CAST(uses AS BIGINT) AS uses FROM repeated")
@@ -188,7 +174,7 @@ _PACKED = f"""{_DECIDED}, kept AS (SELECT *, row_number() OVER (PARTITION BY doc
   UNION ALL SELECT k.doc_id, k.i, k.place, k.text, k.tokens, CASE WHEN p.used + k.tokens > 450 THEN p.chunk_index + 1 ELSE p.chunk_index END, CASE WHEN p.used + k.tokens > 450 THEN k.tokens ELSE p.used + k.tokens END
   FROM packed p JOIN kept k ON k.doc_id = p.doc_id AND k.i = p.i + 1
 ), joined AS (SELECT doc_id, chunk_index, string_agg(text, chr(10) ORDER BY place) AS text, string_agg('u' || place, chr(10) ORDER BY place) AS sources, CAST(sum(tokens) AS BIGINT) AS tokens, min(place) AS first_place, max(place) AS last_place, count(*) AS units FROM packed GROUP BY ALL
-), chunks AS (SELECT *, doc_id || '-c' || lpad(chunk_index::VARCHAR, 4, '0') || '-' || left(sha256('paragraph' || chr(10) || sources || chr(10) || text), 10) AS chunk_id FROM joined)"""
+), chunks AS (SELECT *, doc_id || '-c' || lpad(chunk_index::VARCHAR, greatest(4, length(chunk_index::VARCHAR))::INTEGER, '0') || '-' || left(sha256('paragraph' || chr(10) || sources || chr(10) || text), 10) AS chunk_id FROM joined)"""
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
@@ -223,7 +209,7 @@ _CONTEXT = f"""{_LEXICAL}, {_PACKED}, {_SEEDS}, near AS (SELECT s.query_id, c.do
 def _context(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The first chunk of each of the five best documents, with its neighbours; and all chunks."""
     found = retrieval.lexical_search(_questions(spark, d), _texts(spark, d)).filter("rank <= 5")
-    chunks = chunking.chunks(_packed(spark, d))
+    chunks = kept(chunking.chunks(_packed(spark, d)), "chunks")
     seeds = found.select("query_id", F.col("item_id").alias("doc_id"), F.lit(0).alias("chunk_index"), "rank")
     return evidence.expand(seeds, chunks), chunks
 
@@ -334,3 +320,50 @@ def overlap_audit(spark: SparkSession, d: str) -> DataFrame:
 def manifest_guard(spark: SparkSession, d: str) -> DataFrame:
     hashed = lambda t, key: table(spark, d, t).select(F.col(key).cast("string").alias("name"), F.sha2("text", 256).alias("sha256"))
     return manifest_differences(hashed("documents", "doc_id"), hashed("benchmark", "item_id"))
+
+
+@query(f"""WITH {_HYBRID}, v AS (SELECT k AS variant, query_id, count(*) AS union_size, coalesce(max(1.0::DOUBLE / dense_rank), 0) AS rr FROM merged, (VALUES (5), (10), (20)) t(k) WHERE dense_rank <= k OR lexical_rank <= k GROUP BY ALL)
+  SELECT variant, count(*) AS n, round(avg(union_size), 6) AS union_size, round(avg(rr), 6) AS mrr FROM v GROUP BY variant""")
+def experiment_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of the candidates' union at three depths."""
+    stages = _stages(spark, d)
+    side = lambda name: stages[name].select("query_id", "item_id", F.col("rank").alias(f"{name}_rank"))
+    both = side("dense").join(side("lexical"), ["query_id", "item_id"], "full").withColumn("variant", F.explode(F.array(*map(F.lit, (5, 10, 20)))))
+    deep = both.filter((F.col("dense_rank") <= F.col("variant")) | (F.col("lexical_rank") <= F.col("variant")))
+    runs = deep.groupBy("variant", "query_id").agg(F.count("*").alias("union_size"), F.coalesce(F.max(1 / F.col("dense_rank")), F.lit(0.0)).alias("reciprocal_rank"))
+    return evaluation.variants(runs)
+
+
+_FLAGS = "list_filter([CASE WHEN hit_10 = 0 THEN 'missed' END, CASE WHEN hit_10 > 0 AND hit_1 = 0 THEN 'late' END, CASE WHEN complete_10 = 0 THEN 'incomplete' END, CASE WHEN rr < 0.5 THEN 'low_rank' END], lambda x: x IS NOT NULL)"
+
+
+@query(f"WITH {_SCORES} SELECT query_id, array_to_string({_FLAGS}, ' ') AS flags FROM scores JOIN complete USING (query_id) WHERE list_contains({_FLAGS}, 'incomplete')")
+def failure_flags(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.failure_flags(_scores(spark, d), "incomplete").withColumn("flags", F.array_join("flags", " "))
+
+
+@query(f"WITH {_SCORES.replace('FROM gold g LEFT JOIN fused l', 'FROM gold g LEFT JOIN (SELECT query_id, item_id, CAST((rank + 1) // 2 AS INTEGER) AS rank FROM fused) l')} SELECT query_id, {', '.join(f'round({c}, 6) AS {c}' for c in _COLUMNS)} FROM scores JOIN complete USING (query_id)")
+def context_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Two hits to each seed: an item counts from its seed's rank on."""
+    stages = _stages(spark, d)
+    gold = stages["lexical"].filter("coverage >= 0.5").select("query_id", "item_id", (F.col("item_id") % 3).alias("evidence_group"))
+    context = stages["fused"].select("query_id", "item_id", F.expr("(rank + 1) div 2").cast("int").alias("source_rank"))
+    return evaluation.score_context(context, gold).select("query_id", *(F.round(c, 6).alias(c) for c in _COLUMNS))
+
+
+@query(f"""WITH {_RERANK}, stages AS (SELECT query_id, item_id, 'dense' AS s, rank FROM dense UNION ALL SELECT query_id, item_id, 'lexical', rank FROM lexical UNION ALL SELECT query_id, item_id, 'fused', rank FROM fused UNION ALL SELECT query_id, item_id, 'reranked', rank FROM reranked),
+  t AS (SELECT query_id, item_id, min(rank) FILTER (s = 'dense') AS d, min(rank) FILTER (s = 'lexical') AS l, min(rank) FILTER (s = 'fused') AS f, min(rank) FILTER (s = 'reranked') AS r FROM stages GROUP BY ALL)
+  SELECT query_id, item_id, lang, CAST(row_number() OVER (PARTITION BY query_id ORDER BY r NULLS LAST, f NULLS LAST, d NULLS LAST, l NULLS LAST, item_id) AS INTEGER) AS final_rank FROM t LEFT JOIN documents ON doc_id = item_id""")
+def candidate_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "lang")
+    return retrieval.snapshot(retrieval.trace(_reranked(spark, d), 5), chunks).select("query_id", "item_id", "lang", "final_rank")
+
+
+@query("SELECT count(*) AS chunks, CAST(count(*) AS BIGINT) AS embedded FROM embeddings")
+def coverage_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Of the rows that have a vector, all have one: the gate lets them pass."""
+    vectors = _vectors(spark, d)
+    return retrieval.gate(retrieval.coverage(vectors.select("item_id"), vectors)).select("chunks", "embedded")
+
+
+from tessera.plans import element_queries  # noqa: E402, F401  its queries are registered with these

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import kept
+
 #: Extensions that are taken, and their families.
 FAMILIES = {"pdf": "pdf", "docx": "word", "txt": "text", "html": "html", "htm": "html"}
 MOST_BYTES = 50 * 1024 * 1024
@@ -28,9 +30,13 @@ def sniff(content: Column) -> Column:
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """Files of a folder with hash, family and a list of errors; none is dropped, none is read beyond MOST_BYTES."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return validated(found.withColumn("name", F.element_at(F.split("path", "/"), -1)))
+    """Files of a folder with hash, family and a list of errors; none is dropped.
+
+    The length is a filter that the reader sees, so that files beyond MOST_BYTES are listed, but not read or hashed.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).withColumn("name", F.element_at(F.split("path", "/"), -1))
+    large = found.filter(F.col("length") > MOST_BYTES).select("name", "length", F.lit(None).cast("binary").alias("content"))
+    return validated(found.filter(F.col("length") <= MOST_BYTES).select("name", "length", "content").unionByName(large))
 
 
 def validated(found: DataFrame) -> DataFrame:
@@ -42,7 +48,7 @@ def validated(found: DataFrame) -> DataFrame:
             F.when(family.isNull(), "unsupported extension"),
             F.when(F.col("length") == 0, "empty file"),
             F.when(F.col("length") > MOST_BYTES, "too large"),
-            F.when((F.col("length") > 0) & ~sniff(F.col("content")).eqNullSafe(family), "content differs from extension"),
+            F.when((F.col("length") > 0) & F.col("content").isNotNull() & ~sniff(F.col("content")).eqNullSafe(family), "content differs from extension"),
         )
     )
     return found.select("name", "length", F.sha2("content", 256).alias("sha256"), family.alias("family"), errors.alias("errors"))
@@ -55,9 +61,27 @@ def pdf_kind(pages: DataFrame, least: int = 50) -> DataFrame:
     return counts.select("document_id", "pages", "with_text", kind.alias("kind"))
 
 
-def replace_documents(df: DataFrame, path: str) -> None:
-    """Writes df by document_id; other documents at the path stay as they are."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_id").parquet(path)
+def replace_documents(df: DataFrame, path: str, buckets: int = 256) -> None:
+    """Writes df in the place of the rows of its documents (document_id); other documents at the path stay as they are.
+
+    Documents lie in `buckets` folders by a hash of their id, whatever their number.  Only buckets that df touches are
+    written again: their other documents are read first, joined with df in a written table, and put back with it.
+    """
+    spark = df.sparkSession
+    bucket = F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int")
+    new = kept(df.withColumn("bucket", bucket), "replacing")
+    touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # as many rows as buckets at most
+    whole = new
+    if exists(spark, path):
+        old = spark.read.schema(new.schema).parquet(path).filter(F.col("bucket").isin(touched))
+        whole = kept(old.join(new.select("document_id").distinct(), "document_id", "left_anti").select(*new.columns).unionByName(new), "replaced")
+    whole.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a folder or file at a path of any store that Spark reads."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
 
 
 def manifest_differences(files_: DataFrame, expected: DataFrame) -> DataFrame:

@@ -11,9 +11,9 @@ def one(df):
 
 
 def test_lexical_terms_fall_back_to_raw_tokens(spark):
-    df = spark.createDataFrame([("What is the AML rule of 7 a b?",), ("the of the",), ("",), (None,)], "q string")
+    df = spark.createDataFrame([("What is the XYZ rule of 7 a b?",), ("the of the",), ("",), (None,)], "q string")
     got = [r[0] for r in df.select(text.lexical_terms(F.col("q"))).collect()]
-    assert got == [["aml", "rule", "7"], ["the", "of"], [], None]
+    assert got == [["xyz", "rule", "7"], ["the", "of"], [], None]
 
 
 def test_page_display(spark):
@@ -156,21 +156,114 @@ def test_structural_context_is_capped_in_order(spark):
     assert got[0][3] == ["preceding_intro"] and got[2][3] == ["introduced_child"]
 
 
-def test_pieces_equal_a_greedy_loop(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    words = docs.select("doc_id", F.posexplode(F.split(text.squeeze(F.col("text")), " ")).alias("i", "w")).withColumn("n", text.token_estimate(F.col("w")))
-    want = {}
-    for r in words.orderBy("doc_id", "i").collect():
-        own = want.setdefault(r["doc_id"], [])
-        if r["w"] and (not own or own[-1][1] + r["n"] > 100):
-            own.append(([], 0))
-        if r["w"]:
-            own[-1] = ([*own[-1][0], r["w"]], own[-1][1] + r["n"])
-    got = {r["doc_id"]: r["p"] for r in docs.filter("text is not null").select("doc_id", chunking.pieces(F.col("text"), 100).alias("p")).collect()}
-    assert got == {k: [" ".join(ws) for ws, _ in v] for k, v in want.items()}
+def test_pieces_of_a_text():
+    assert chunking.pieces(None, 5) is None and chunking.pieces(" ", 5) == []
+    assert chunking.pieces("a b, c " + "long-word-of-seven-tokens x", 3) == ["a b,", "c", "long-word-of-seven-tokens", "x"]
+    words = "w " * 100_000
+    assert sum(len(p.split()) for p in chunking.pieces(words, 700)) == 100_000
+
+
+def test_pieces_overlap_by_words():
+    text = "One two three. Four five six!\n\nSeven eight nine ten."
+    got = chunking.overlapping(text, 8, 3)
+    assert got == ["One two three. Four five six!", "five six!\n\nSeven eight nine ten."]
+    assert chunking.overlapping(text, 5, 3) == ["One two three.", "Four five six!", "Seven eight nine ten."]
+    assert chunking.overlapping("", 5, 2) == []
+
+
+def test_table_rows_are_never_cut():
+    assert chunking.table_rows(["h | k", "a | b", "c | d", "e | f"], 7) == [("", "h | k\na | b"), ("h | k", "c | d"), ("h | k", "e | f")]
 
 
 def test_splitting_of_overlong_chunks(spark):
-    rows = [("a", "w " * 500, 500), ("b", "short", 1), ("c", None, None)]
-    got = chunking.split_overlong(spark.createDataFrame(rows, "chunk_id string, text string, tokens int"), 150).collect()
-    assert [(r["chunk_id"], r["tokens"], r["split_part"], r["split_total"]) for r in got] == [("a", 150, 1, 4), ("a", 150, 2, 4), ("a", 150, 3, 4), ("a", 50, 4, 4), ("b", 1, None, None), ("c", None, None, None)]
+    rows = [("a", "w " * 500, 500, None), ("b", "short", 1, "x"), ("c", None, None, None), ("t", "h\n" + "r r r\n" * 100, 301, "table")]
+    df = spark.createDataFrame(rows, "chunk_id string, text string, tokens int, kind string")
+    got = chunking.split_overlong(df, 150).orderBy("chunk_id", "split_part").collect()
+    assert [(r["chunk_id"], r["tokens"], r["split_part"], r["split_total"]) for r in got] == [("a", 150, 1, 4), ("a", 150, 2, 4), ("a", 150, 3, 4), ("a", 50, 4, 4), ("b", 1, None, None), ("c", None, None, None), ("t", 148, 1, 3), ("t", 147, 2, 3), ("t", 6, 3, 3)]
+    assert [r["split_context"] for r in got if r["chunk_id"] == "t"] == ["", "h", "h"]
+    assert chunking.split_overlong(df.filter("chunk_id = 'x'"), 150).count() == 0
+
+
+def test_ids_of_many_chunks(spark):
+    df = spark.createDataFrame([("d", 7), ("d", 12_345)], "doc string, i int")
+    got = [r[0] for r in df.select(text.content_id(F.col("doc"), F.col("i"), F.lit("k"), F.array(F.lit("u")), F.lit("t"))).collect()]
+    assert [x[:-10] for x in got] == ["d-c0007-", "d-c12345-"]
+
+
+def test_paths_of_any_depth(spark):
+    df = spark.createDataFrame([(k, k - 1 if k else None, str(k)) for k in range(40)], "id long, parent_id long, title string")
+    assert {r["id"]: r["depth"] for r in graph.paths(df).collect()} == {k: k + 1 for k in range(40)}
+
+
+def test_cycles_are_found(spark):
+    from tessera.operators import integrity
+
+    rows = [(k, k - 1 if k else None) for k in range(30)] + [(100, 102), (101, 100), (102, 101), (103, 102), (104, 999), (200, 200)]
+    got = integrity.on_cycles(spark.createDataFrame(rows, "id long, up long"), "id", "up").collect()
+    assert sorted(r["id"] for r in got) == [100, 101, 102, 103, 200]
+
+
+def test_more_queries_than_a_block(spark, monkeypatch):
+    rows = [(k, [float(k % 7 + 1), float(k % 5 + 1), 1.0]) for k in range(60)]
+    v = spark.createDataFrame(rows, "item_id long, vector array<double>")
+    q = v.withColumnRenamed("item_id", "query_id")
+    whole = sorted(map(tuple, retrieval.dense_search(q, v, 3).select("query_id", "item_id", "rank").collect()))
+    monkeypatch.setattr(retrieval, "BLOCK_BYTES", 10 * 24)
+    assert sorted(map(tuple, retrieval.dense_search(q, v, 3).select("query_id", "item_id", "rank").collect())) == whole
+    assert len(whole) == 180
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from tessera.sources import shared
+
+    class Session:
+        sparkContext = type("Context", (), {"master": "yarn", "getCheckpointDir": staticmethod(lambda: None)})  # noqa: N815
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared.folder(Session)
+
+
+def test_large_files_are_not_read(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.txt").write_text("abc")
+    (tmp_path / "b.txt").write_text("abcdef")
+    monkeypatch.setattr(ingest, "MOST_BYTES", 4)
+    got = {r["name"]: (r["errors"], r["sha256"] is None) for r in ingest.files(spark, f"file://{tmp_path}").collect()}
+    assert got == {"a.txt": ([], False), "b.txt": (["too large"], True)}
+
+
+def test_csv_with_a_byte_order_mark(spark, tmp_path):
+    from tessera.sources import records
+
+    (tmp_path / "q.csv").write_bytes("\ufeffid,text\n1,\"a\nb\"\n".encode())
+    assert [r.asDict() for r in records.csv_table(spark, f"file://{tmp_path}/q.csv").collect()] == [{"id": "1", "text": "a\nb"}]
+
+
+def test_vectors_of_unequal_dimension_are_refused(spark):
+    from tessera.sources import records
+
+    df = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id long, vector array<double>")
+    with pytest.raises(Exception, match="dimension"):
+        records.checked_vectors(df).collect()
+    assert records.checked_vectors(df.filter("id = 1")).count() == 1
+
+
+def test_files_that_are_not_read_on(spark):
+    from tessera.sources import records
+
+    df = spark.createDataFrame([("pdf", []), ("word", []), ("pdf", ["empty file"])], "family string, errors array<string>")
+    assert [r["state"] for r in records.reading_state(df).collect()] == ["accepted", "unsupported", "rejected"]
+
+
+def test_incomplete_coverage_stops_the_plan(spark):
+    chunks = spark.createDataFrame([(1,), (2,)], "item_id long")
+    vectors = spark.createDataFrame([(1, [1.0])], "item_id long, vector array<double>")
+    with pytest.raises(Exception, match="not all chunks"):
+        retrieval.gate(retrieval.coverage(chunks, vectors)).collect()
+
+
+def test_held_out_split_needs_confirmation():
+    assert evaluation.split_allowed("dev", False, None, "t") and evaluation.split_allowed("heldout", True, "t", "t")
+    assert not evaluation.split_allowed("heldout", False, "t", "t") and not evaluation.split_allowed("heldout", True, "T", "t")
+    with pytest.raises(ValueError):
+        evaluation.split_allowed("test", True, "t", "t")
