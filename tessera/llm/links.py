@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, release
 
 #: Members of a group or family that a task compares with as many others.
 SLICE = 500
@@ -150,6 +150,7 @@ def near_components(
     near = stars.filter(F.col("d") <= most).select("a", "b")
     near = near.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
     links = scratch.table(near.filter(similar(expand(F.col("x")), expand(F.col("y")), percent)).select("a", "b"))
+    release(scratch.spark)
     comps = components(links, scratch)
     families = components(stars.select("a", "b"), scratch)
     scratch.drop(stars)
@@ -159,6 +160,7 @@ def near_components(
     split = sizes.groupBy("family").agg(F.max(F.struct("count", "comp")).alias("main"), F.sum("count").alias("size"), F.count("*").alias("comps")).filter("comps > 1")
     split = split.select("family", F.col("main.comp").alias("main"), _slices(F.col("size")).alias("inners"), F.greatest(F.lit(1), _slices(F.col("size") - F.col("main.count"))).alias("outers"))
     split = scratch.table(split)
+    release(scratch.spark)
     members = placed.join(split, "family").join(nodes, "node").join(sets, "node")
     members = scratch.table(members.select("family", "node", "comp", "q", expand(F.col("items")).alias("items"), "inners", "outers", (F.col("comp") == F.col("main")).alias("inner")), done=(placed, split, sets, nodes))
     inner = members.withColumn("outer_slice", _each("outers"))

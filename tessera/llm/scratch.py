@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -65,6 +66,12 @@ class Scratch:
                 delete(self.spark, kept[1])
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver forget plans that nobody holds any more: Spark deletes their shuffle files once they are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def delete(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -82,6 +89,7 @@ def made_here(found: list[str]) -> Iterator[None]:
 
 def sweep(spark: SparkSession, docs: DataFrame, folders: list[str]) -> list[str]:
     """Deletes folders of operators whose results have been written; those that docs reads from stay and are returned."""
+    release(spark)
     plain = [(f, f.split(":", 1)[-1].lstrip("/") + "/") for f in dict.fromkeys(folders)]
     read = [f.split(":", 1)[-1].lstrip("/") for f in docs.inputFiles()] if plain else []
     kept = {f for f, start in plain if any(x.startswith(start) for x in read)}
