@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch, release
 
-#: Members of a group or family that a task compares with as many others.
-SLICE = 500
+#: Members of a group or family that a task holds, and outsiders that come by them.
+SLICE, OUTSIDERS = 1000, 10_000
 #: Bits of the filter that goes before a join: 16 MB at most, whatever the tables hold.
 BITS = 1 << 27
 
@@ -84,8 +84,8 @@ def comparable(left: Column, right: Column, percent: int) -> Column:
     return 100 * F.least(left, right) >= percent * F.greatest(left, right)
 
 
-def _slices(count: Column) -> Column:
-    return F.ceil(count / SLICE)
+def _slices(count: Column, size: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(count / size))
 
 
 def _each(slices: str) -> Column:
@@ -126,7 +126,7 @@ def near_components(
     # differences of which a has left, being near a leader, is still related through that leader: b is within 2 * most.
     rest = pairs.join(first.filter(F.col("d") <= most), ["a", "b"], "left_anti").select("key", F.col("b").alias("node"))
     rest = scratch.table(rest, done=(pairs,))
-    many = rest.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key", "size", _slices(F.col("size")).alias("slices"))
+    many = rest.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key", "size", _slices(F.col("size"), SLICE).alias("slices"))
     parts = [first]
     if not many.isEmpty():
         leads = F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.sqrt("size"))) == 0
@@ -158,7 +158,7 @@ def near_components(
     placed = scratch.table(placed, done=(families,))
     sizes = placed.groupBy("family", "comp").count()
     split = sizes.groupBy("family").agg(F.max(F.struct("count", "comp")).alias("main"), F.sum("count").alias("size"), F.count("*").alias("comps")).filter("comps > 1")
-    split = split.select("family", F.col("main.comp").alias("main"), _slices(F.col("size")).alias("inners"), F.greatest(F.lit(1), _slices(F.col("size") - F.col("main.count"))).alias("outers"))
+    split = split.select("family", F.col("main.comp").alias("main"), _slices(F.col("size"), SLICE).alias("inners"), _slices(F.col("size") - F.col("main.count"), OUTSIDERS).alias("outers"))
     split = scratch.table(split)
     release(scratch.spark)
     members = placed.join(split, "family").join(nodes, "node").join(sets, "node")

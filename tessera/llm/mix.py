@@ -184,7 +184,8 @@ class Mix:
         given = self.given
         whole = given.df.withColumn("uid", self.uid())
         whole = whole.withColumn("copy", F.row_number().over(Window.partitionBy("uid").orderBy(F.length(given["text"]))))
-        cut = whole.join(runs, (F.col("uid") == F.col("uid_")) & (F.col("copy") == F.col("copy_"))).select(*given.own, "first", "stop", "shard", "place")
+        # Joined by uid alone, as the texts lie by uid already for their numbers: a join by both would deal them out again.
+        cut = whole.join(runs, (F.col("uid") == F.col("uid_")) & (F.col("copy") - F.col("copy_") == 0)).select(*given.own, "first", "stop", "shard", "place")
         # Words first, then the shuffle by shard: what is dealt out is cut already.
         cut = cut.mapInArrow(partial(_words, given.name("text")), ", ".join(f"{c} {t}" for c, t in cut.dtypes))
         if "n_chars" in given.names:
