@@ -12,11 +12,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, release
 from .wordhash import U64, mix
 
 #: Longest piece that is looked up, in code points; text bytes of a chunk of documents that share a table of words.
-LONGEST, CHUNK = 16, 8_000_000
+LONGEST, CHUNK = 16, 16_000_000
 #: Weight of the vocabulary's own scores, in pieces, beside the expected counts; steps of re-estimation.
 PRIOR, STEPS = 100_000.0, 3
 #: Code points of a long word that are taken at once: state that a recursion keeps is that of its last LONGEST places.
@@ -294,6 +294,7 @@ def score(spark: SparkSession, docs: DataFrame, trains: Column, model: str = "pi
     coded = scratch.table(given.mapInArrow(_code, "chunk long, doc_id long, trains boolean, said binary, number long, word binary, c long"))
     local = coded.filter("word is not null").select("chunk", "number", "word", "c")
     words = scratch.table(local.groupBy("word").agg(F.sum("c").alias("c")))
+    release(spark)
     known = words.filter("c > 0")
     n, v, ends = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("c"))), F.lit(0))).first()
     spelled = known.filter(F.col("word") != F.lit(END))
