@@ -16,7 +16,7 @@ from .scratch import Scratch, release
 from .wordhash import U64, mix
 
 #: Longest piece that is looked up, in code points; text bytes of a chunk of documents that share a table of words.
-LONGEST, CHUNK = 16, 16_000_000
+LONGEST, CHUNK = 16, 8_000_000
 #: Weight of the vocabulary's own scores, in pieces, beside the expected counts; steps of re-estimation.
 PRIOR, STEPS = 100_000.0, 3
 #: Code points of a long word that are taken at once: state that a recursion keeps is that of its last LONGEST places.
@@ -201,6 +201,15 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), END]
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers byte by byte: all lowest bytes, then the next ones, so that the high ones, mostly 0, compress to little."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 _CODED = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("trains", pa.bool_()), ("said", pa.binary()), ("number", pa.int64()), ("word", pa.binary()), ("c", pa.int64())])
 
 
@@ -220,7 +229,7 @@ def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(docs), 500):
             some = docs[i : i + 500]
             none = pa.nulls(len(some), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(some), pa.int64()), pa.array([d for d, _, _ in some], pa.int64()), pa.array([t for _, t, _ in some]), pa.array([x.tobytes() for _, _, x in some], pa.binary()), none, pa.nulls(len(some), pa.binary()), none], schema=_CODED)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(some), pa.int64()), pa.array([d for d, _, _ in some], pa.int64()), pa.array([t for _, t, _ in some]), pa.array([planes(x) for _, _, x in some], pa.binary()), none, pa.nulls(len(some), pa.binary()), none], schema=_CODED)
         words = list(place)
         for i in range(0, len(words), 50_000):
             some = words[i : i + 50_000]
@@ -271,7 +280,7 @@ def _score(n: int, v: int, docs: pa.Table, table: pa.Table) -> pa.Table:
     base = np.log10((c + 1) / (n + v + 1))
     sums: list[tuple[int, int, float, float]] = []
     for said in docs["said"]:
-        at = np.frombuffer(said.as_py(), np.int32)
+        at = from_planes(said.as_py())
         sums.append((len(at), int((c[at] > 0).sum()), float(base[at].sum()), float(lp[at].sum())))
     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     columns = [pa.array(x, k) for x, k in zip(zip(*sums, strict=True), kinds, strict=True)] if sums else [pa.array([], k) for k in kinds]
