@@ -16,7 +16,7 @@ from .scratch import Scratch, release
 from .wordhash import U64, mix
 
 #: Longest piece that is looked up, in code points; text bytes of a chunk of documents that share a table of words.
-LONGEST, CHUNK = 16, 8_000_000
+LONGEST, CHUNK = 16, 12_000_000
 #: Weight of the vocabulary's own scores, in pieces, beside the expected counts; steps of re-estimation.
 PRIOR, STEPS = 100_000.0, 3
 #: Code points of a long word that are taken at once: state that a recursion keeps is that of its last LONGEST places.

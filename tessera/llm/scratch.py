@@ -52,7 +52,7 @@ class Scratch:
         """
         self.count += 1
         path = f"{self.root}/{self.count:03d}"
-        df.write.options(**{f"parquet.enable.dictionary#{c}": "false" for c in hashes}).parquet(path)
+        df.write.option("compression", "zstd").options(**{f"parquet.enable.dictionary#{c}": "false" for c in hashes}).parquet(path)
         found = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(found)] = (found, path)
         self.drop(*done)
