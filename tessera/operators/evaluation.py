@@ -64,6 +64,38 @@ def overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
     return scored.withColumn("i", F.row_number().over(order)).filter("i = 1").drop("i")
 
 
+def near_questions(left: DataFrame, right: DataFrame, least: float = 0.7) -> DataFrame:
+    """For each left question (id, terms) the nearest right one of another id at `least` or more: id, other, jaccard.
+
+    Ties go to the smallest id.  Questions without terms or with null ones have no row.  Each distinct set of terms is
+    compared once, and only with sets that share one of its rarest terms: those before the share that two such sets must
+    have in common.  So neither a term that all questions have nor a question that is asked over and over makes all pairs.
+    """
+    as_set = F.array_sort(F.array_distinct("terms"))
+    a, b = (side.select("id", as_set.alias("terms")).filter(F.size("terms") > 0) for side in (left, right))
+    nth = F.row_number().over(Window.partitionBy("terms").orderBy("id"))
+    two = b.distinct().withColumn("nth", nth).filter("nth <= 2").groupBy("terms").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    sets = a.select("terms").distinct()
+    used = sets.unionByName(two.select("terms")).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+    def rarest(of: DataFrame) -> DataFrame:
+        dealt = of.select("terms", F.explode("terms").alias("term")).join(used, "term")
+        place = F.row_number().over(Window.partitionBy("terms").orderBy("df", "term"))
+        return dealt.withColumn("place", place).filter(F.col("place") <= F.size("terms") - F.ceil(least * F.size("terms") - 1e-9) + 1).select("term", "terms")
+
+    x, y = rarest(sets).withColumnRenamed("terms", "s"), rarest(two).withColumnRenamed("terms", "t")
+    fits = (F.size("s") >= least * F.size("t") - 1e-9) & (F.size("t") >= least * F.size("s") - 1e-9)
+    met = x.join(y, "term").filter(fits).select("s", "t").distinct()
+    common = F.size(F.array_intersect("s", "t"))
+    share = common / (F.size("s") + F.size("t") - common)
+    near = met.withColumn("j", share).filter(F.col("j") >= least - 1e-9).join(two.withColumnRenamed("terms", "t"), "t")
+    others = near.select(F.col("s").alias("terms"), F.round("j", 6).alias("jaccard"), F.explode("ids").alias("other"))
+    order = F.row_number().over(Window.partitionBy("terms").orderBy(F.desc("jaccard"), "other"))
+    best = others.withColumn("nth", order).filter("nth <= 2")
+    chosen = a.distinct().join(best, "terms").filter("id <> other").groupBy("id").agg(F.min_by(F.struct("other", "jaccard"), "nth").alias("n"))
+    return chosen.select("id", "n.other", "n.jaccard")
+
+
 def findings(*checks: DataFrame) -> DataFrame:
     """Findings (code, severity, subject) of several checks, one table."""
     return reduce(DataFrame.unionByName, checks)

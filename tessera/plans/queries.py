@@ -366,4 +366,4 @@ def coverage_gate(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.gate(retrieval.coverage(vectors.select("item_id"), vectors)).select("chunks", "embedded")
 
 
-from tessera.plans import element_queries  # noqa: E402, F401  its queries are registered with these
+from tessera.plans import element_queries, structure_queries  # noqa: E402, F401  its queries are registered with these
