@@ -364,10 +364,14 @@ def nested_subclauses(elements: DataFrame) -> DataFrame:
 
 
 def document_titles(documents: DataFrame, roles: DataFrame, elements: DataFrame) -> DataFrame:
-    """doc_id, title and title_source of documents (doc_id, metadata_title, filename): the title element, the file's own, its name."""
+    """doc_id, title and title_source of documents (doc_id, metadata_title, filename): the title element, the file's own, its name.
+
+    Further columns of documents pass, between doc_id and title.
+    """
     found = roles.filter("role = 'title'").join(elements.select("doc_id", "place", "text"), ["doc_id", "place"]).select("doc_id", F.nullif(F.trim("text"), F.lit("")).alias("t"))
     joined = documents.join(found, "doc_id", "left")
     own = F.nullif(F.trim("metadata_title"), F.lit(""))
     stem = F.regexp_replace(F.regexp_replace("filename", "^.*/", ""), r"(?<=.)\.[^.]*$", "")
     source = F.when(F.col("t").isNotNull(), "element").when(own.isNotNull(), "metadata").otherwise("filename")
-    return joined.select("doc_id", F.coalesce("t", own, stem).alias("title"), source.alias("title_source"))
+    passed = [c for c in documents.columns if c not in ("doc_id", "metadata_title", "filename")]
+    return joined.select("doc_id", *passed, F.coalesce("t", own, stem).alias("title"), source.alias("title_source"))
