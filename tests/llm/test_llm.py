@@ -159,6 +159,39 @@ def test_short_lines_are_deduplicated(spark):
     assert {r["doc_id"]: r["text"] for r in corpus_pipeline.distinct_lines(spark, df, FOLDER).collect()} == expected
 
 
+def test_bands_hold_the_nearest_distinct_hashes(spark):
+    lines = ["a" * 300, "ab" * 200, "-" * 60 + "twelve or more different characters" + "-" * 90, "abcdefghijkl", "short", "", "no shingle of this line is in it twice"]
+    df = spark.createDataFrame(list(enumerate(lines)), "lid int, line string").select("lid", line_dedup.shingle_hashes(F.col("line")).alias("items"))
+    items = {r["lid"]: set(r["items"]) for r in df.collect()}
+    assert {k: len(x) for k, x in items.items()} == {k: len({x[i : i + 12] for i in range(len(x) - 11)}) for k, x in enumerate(lines)}
+    runs = []
+    for k, x in items.items():
+        for i, p in enumerate(line_dedup.POINTS):
+            runs.append((k, 2 * i, sorted(x, key=lambda h: (h - p) % (1 << 64))[:3]))
+            runs.append((k, 2 * i + 1, sorted(x, key=lambda h: (p - h) % (1 << 64))[:3]))
+    wanted = spark.createDataFrame(runs, "lid int, band int, run array<long>").select("lid", "band", F.xxhash64("band", "run").alias("key"))
+    expected = {(r["lid"], r["band"]): r["key"] for r in wanted.collect()}
+    assert {(r["lid"], i): key for r in line_dedup.with_bands(df).collect() for i, key in enumerate(r["keys"])} == expected
+
+
+def test_line_dedup_stores_lines_and_not_their_shingles(spark, documents, monkeypatch):
+    stored = []
+    table = scratch.Scratch.table
+    monkeypatch.setattr(scratch.Scratch, "table", lambda self, df, *a, **b: stored.append(df.dtypes) or table(self, df, *a, **b))
+    line_dedup.dedup_lines(spark, spark.createDataFrame(documents[:40], "doc_id long, text string"), line_dedup.SHORTEST)
+    kinds = {t for types in stored for name, t in types if name == "items"}
+    assert kinds == {"string"}
+
+
+def test_tables_between_steps_leave_no_shuffle_files(spark):
+    store = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    left = lambda: set(re.findall(r"shuffle_\d+_", store.getAllFiles().mkString("\n")))
+    before = left()
+    held = [scratch.Scratch(spark, "files").table(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()) for _ in range(3)]
+    assert not left() - before
+    assert [df.count() for df in held] == [7, 7, 7]
+
+
 # Chats.
 
 
