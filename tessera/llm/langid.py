@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .columns import Given
 from .wordhash import U64, mix, slices
 
-#: Components of a vector; labelled documents that a language's profile takes, on average.
-DIMS, SAMPLE = 1024, 2000
+#: Components of a vector; parts of one that sums of unit vectors are counted in; steps of a cosine that medians are told by.
+DIMS, UNIT, FINE = 1024, 1 << 30, 10_000
 #: Languages beyond which a model is refused, as these are no languages: profiles (4 kB each) are sent to every task.
 MOST_LANGUAGES = 20_000
 SHARPNESS = 25.0
@@ -98,55 +98,62 @@ def _groups(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatc
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of a task's unit vectors by language, as whole numbers of 1 / UNIT, so that their order is of no effect."""
     sums: dict[str, np.ndarray] = {}
+
+    def made() -> pa.RecordBatch:
+        whole = [np.rint(x * UNIT).astype(np.int64).tolist() for x in sums.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(whole, pa.list_(pa.int64()))], names=["lang", "profile"])
+
     for batch in batches:
         for part in _groups(batch):
             vectors, has = bundles(part["text"].to_pylist())
             for lang, vector, ok in zip(part["lang"].to_pylist(), vectors, has, strict=True):
                 if ok:
-                    sums[lang] = sums.get(lang, 0) + vector
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))], names=["lang", "profile"])
-
+                    sums[lang] = sums.get(lang, 0) + vector.astype(np.float64)
+            if len(sums) > 1000:
+                yield made()
+                sums.clear()
+    yield made()
 
-def train(labelled: DataFrame, order: Column, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages and their unit profiles from labelled (text, lang), about `sample` documents for each language.
 
-    order: a number of each row that decides, by its hash alone, whether the row is in the sample.
-    """
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
+def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Languages and their unit profiles from all of labelled (text, lang)."""
+    if len(labelled.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not counts:
-        return [], np.zeros((0, DIMS), np.float32)
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample / n))])
-    chosen = labelled.filter(F.pmod(F.xxhash64(order, F.lit("sample")), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
-    parts = chosen.select("text", "lang").repartition(len(counts), "lang").mapInArrow(_profiles, "lang string, profile array<double>").collect()
-    sums: dict[str, np.ndarray] = {}
-    for r in sorted(parts, key=lambda r: (r["lang"], r["profile"])):
-        sums[r["lang"]] = sums.get(r["lang"], 0) + np.array(r["profile"])
-    langs = sorted(sums)
-    profiles = np.array([sums[x] / np.linalg.norm(sums[x]) for x in langs]).reshape(len(langs), DIMS)
-    return langs, np.round(profiles, 6).astype(np.float32)
+    parts = labelled.select("text", "lang").mapInArrow(_profiles, "lang string, profile array<long>")
+    sums = parts.select("lang", F.posexplode("profile").alias("k", "x")).groupBy("lang", "k").agg(F.sum("x").alias("x"))
+    found = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "x")))["x"].alias("profile")).collect()
+    profiles = {r["lang"]: np.array(r["profile"], np.float64) for r in found}
+    langs = sorted(profiles)
+    unit = np.array([profiles[x] / np.linalg.norm(profiles[x]) for x in langs]).reshape(len(langs), DIMS)
+    return langs, np.round(unit, 6).astype(np.float32)
 
 
 def _beginnings(profiles: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many beginnings of 2 ** k characters have each cosine to their best profile, in steps of 1 / FINE."""
     for batch in batches:
         for part in _groups(batch):
             texts = part["text"].to_pylist()
             for k in EXPONENTS:
                 vectors, has = bundles([t[: 1 << k] for t in texts])
-                top = (vectors @ profiles.T).max(axis=1)[has]
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(top), pa.int32()), pa.array(top, pa.float64())], names=["k", "cosine"])
+                steps, n = np.unique(np.rint((vectors @ profiles.T).max(axis=1)[has] * FINE).astype(np.int32), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(n), pa.int32()), pa.array(steps), pa.array(n)], names=["k", "step", "n"])
 
 
-def floors(labelled: DataFrame, order: Column, profiles: np.ndarray) -> dict[int, float]:
-    """For each k of EXPONENTS a share of the median cosine that beginnings of 2 ** k characters of labelled texts have."""
+def floors(labelled: DataFrame, profiles: np.ndarray) -> dict[int, float]:
+    """For each k of EXPONENTS a share of the median cosine that beginnings of 2 ** k characters of all labelled texts have."""
     if not len(profiles):
         return {}
-    share = min(1.0, 4 * SAMPLE / max(1, labelled.count()))
-    chosen = labelled.filter(F.pmod(F.xxhash64(order, F.lit("floor")), F.lit(1 << 30)) < int(share * (1 << 30)))
-    found = chosen.select("text").mapInArrow(partial(_beginnings, profiles), "k int, cosine double")
-    return {r["k"]: LOOSE * r["c"] for r in found.groupBy("k").agg(F.percentile_approx("cosine", 0.5).alias("c")).collect()}
+    found = labelled.select("text").mapInArrow(partial(_beginnings, profiles), "k int, step int, n long").groupBy("k", "step").agg(F.sum("n").alias("n"))
+    counts: dict[int, list[tuple[int, int]]] = {}
+    for r in sorted(found.collect()):
+        counts.setdefault(r["k"], []).append((r["step"], r["n"]))
+    least = {}
+    for k, steps in counts.items():
+        below = np.cumsum([n for _, n in steps])
+        least[k] = LOOSE * steps[int(np.searchsorted(below, (below[-1] + 1) // 2))][0] / FINE
+    return least
 
 
 def _least(least: dict[int, float], text: str | None) -> float:
@@ -177,14 +184,14 @@ def identify(spark: SparkSession, docs: DataFrame, trains: Column, keep: list[st
     """The columns `keep` of docs (all without it), then lang_pred, score (0 to 1, of the prediction) and cosine (to its profile).
 
     docs has doc_id, text and lang.  Profiles are learned from rows with `trains` true and a lang; a null counts as
-    false.  A null text, one without a letter, and any text if nothing was learned, are `und` with score 0.  Whole
+    false, and from all of these.  A null text, one without a letter, and any text if nothing was learned, are `und` with score 0.  Whole
     texts are used.  If bounded, a text under the floor for its number of letters is `und` as well.  Kept columns may
     have any name; an added one whose name is among theirs gets an underscore behind it.  Repeated rows give repeated
     results; no rows, no result rows.
     """
-    labelled = docs.filter(F.coalesce(trains, F.lit(False)) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", F.col("lang").cast("string").alias("lang"), "doc_id")
-    langs, profiles = train(labelled, F.col("doc_id"))
-    least = floors(labelled, F.col("doc_id"), profiles) if bounded else {}
+    labelled = docs.filter(F.coalesce(trains, F.lit(False)) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", F.col("lang").cast("string").alias("lang"))
+    langs, profiles = train(labelled)
+    least = floors(labelled, profiles) if bounded else {}
     given = Given(docs.select(*(F.col(f"`{c}`") for c in docs.columns if keep is None or c in keep)))
     text = given.name("text") if "text" in given.names else "text"
     read = given.df if "text" in given.names else Given(docs.select(*(F.col(f"`{c}`") for c in given.names), "text")).df.withColumnRenamed(f"in_{len(given.names)}", "text")

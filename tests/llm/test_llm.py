@@ -532,6 +532,20 @@ def test_languages_of_held_out_documents(spark, odd, empty):
     assert langid.identify(spark, empty, langid.fold(3) != 1, ["doc_id"]).count() == 0
 
 
+def test_profiles_and_floors_come_from_all_rows(spark):
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcdefgh" if i % 2 else "hijklmn", k=rng.randint(1, 9))) for _ in range(rng.randint(1, 4))) for i in range(4400)]
+    docs = spark.createDataFrame([(i, x, "ab"[i % 2 == 0]) for i, x in enumerate(texts)], "doc_id long, text string, lang string").repartition(7)
+    vectors = np.concatenate([langid.bundles(texts[i : i + 100])[0] for i in range(0, len(texts), 100)])
+    unit = np.array([x / np.linalg.norm(x) for x in (vectors[1::2].sum(axis=0), vectors[::2].sum(axis=0))])
+    got = {r["doc_id"]: r["cosine"] for r in langid.identify(spark, docs, F.lit(True)).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx((vectors @ unit.T).max(axis=1).tolist(), abs=1e-5)
+    least = langid.floors(docs, unit.astype(np.float32))
+    for k in (2, 6):
+        heads = np.concatenate([langid.bundles([x[: 1 << k] for x in texts[i : i + 100]])[0] for i in range(0, len(texts), 100)])
+        assert least[k] == pytest.approx(langid.LOOSE * np.quantile((heads @ unit.T).max(axis=1), 0.5, method="inverted_cdf"), abs=1e-4)
+
+
 # Lattice.
 
 
