@@ -14,6 +14,7 @@ from tests.compare import duck, spark_rows
 
 from tessera.llm import html_text, langid, lattice, line_dedup, matroska, minhash, mix, pack, quality, queries, scratch
 from tessera.llm.chat import format_chats
+from tessera.llm.links import near_components
 
 FOLDER = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -174,6 +175,48 @@ def test_bands_hold_the_nearest_distinct_hashes(spark):
     assert {(r["lid"], i): key for r in line_dedup.with_bands(df).collect() for i, key in enumerate(r["keys"])} == expected
 
 
+def test_code_of_bands_is_small_enough_to_be_compiled(spark):
+    lines = spark.createDataFrame([(1, "no shingle of this line is in it twice")], "lid int, line string")
+    plan = line_dedup.with_bands(lines.select("lid", line_dedup.shingle_hashes(F.col("line")).alias("items")))._jdf.queryExecution().executedPlan()
+    parts = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenStringSeq(plan)
+    sizes = [parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())]
+    assert sizes and max(sizes) < 8000  # the JVM interprets longer methods
+
+
+def keyed_components(spark, keys, sets, monkeypatch):
+    """Components of sets that share a key, and how many nodes came to be compared beyond their group's smallest."""
+    stored = []
+    table = scratch.Scratch.table
+    monkeypatch.setattr(scratch.Scratch, "table", lambda self, df, *a, **b: stored.append(made := table(self, df, *a, **b)) or ("outers" in df.columns and "items" in df.columns and counts.append(made.count())) or made)
+    counts = []
+    nodes = spark.createDataFrame([(n, sorted(k)) for n, k in keys.items()], "node long, q array<long>")
+    items = spark.createDataFrame([(n, sorted(x)) for n, x in sets.items()], "node long, items array<long>")
+    apart = lambda x, y: F.when(F.arrays_overlap(x, y), 0).otherwise(1)
+    found = near_components(nodes, nodes.select(F.explode("q").alias("key"), "node"), lambda wanted: items.join(wanted, "node"), percent=80, apart_by=apart, most=0, scratch=scratch.Scratch(spark, "keyed"))
+    return {r["node"]: r["comp"] for r in found.collect()}, sum(counts)
+
+
+def test_pairs_with_a_smallest_node_are_compared_once(spark, monkeypatch):
+    keys = {1: {10}, 2: {10}, 3: {11, 12}, 4: {11}, 5: {12}}
+    assert keyed_components(spark, keys, {n: {n, n + 100} for n in keys}, monkeypatch) == ({}, 0)
+
+
+def test_links_by_shared_keys_equal_brute_force(spark, monkeypatch):
+    chance = random.Random(5)
+    bases = [set(range(100 * k, 100 * k + 20)) for k in range(12)]
+    sets = {n: set(chance.sample(sorted(bases[n % 12]), chance.choice([17, 18, 19, 20]))) for n in range(150)}
+    keys = {n: {chance.randrange(60), 100 + chance.randrange(25)} for n in sets}
+    parent = {n: n for n in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and keys[a] & keys[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((parent[a], parent[b]))
+                parent = {n: low if p == high else p for n, p in parent.items()}
+    expected = {n: p for n, p in parent.items() if list(parent.values()).count(p) > 1}
+    assert len(expected) > 20
+    assert keyed_components(spark, keys, sets, monkeypatch)[0] == expected
+
+
 def test_line_dedup_stores_lines_and_not_their_shingles(spark, documents, monkeypatch):
     stored = []
     table = scratch.Scratch.table
