@@ -17,6 +17,8 @@ from .wordhash import U64, mix, slices
 DIMS, UNIT, FINE = 1024, 1 << 30, 10_000
 #: Languages beyond which a model is refused, as these are no languages: profiles (4 kB each) are sent to every task.
 MOST_LANGUAGES = 20_000
+#: Trigrams whose vectors are floats at one time (a long text has many); those kept for frequent use are bytes.
+AT_ONCE = 3000
 SHARPNESS = 25.0
 #: Powers of two of the beginnings that bounds are taken from; the share of their median cosine that a text needs.
 EXPONENTS, LOOSE = range(2, 11), 0.25
@@ -35,7 +37,7 @@ def letter_vectors(points: np.ndarray) -> np.ndarray:
 
 
 _bound: dict[tuple[int, int, int], int] = {}
-_table = np.zeros((0, DIMS), np.float32)
+_table = np.zeros((0, DIMS), np.int8)
 
 
 def _vectors(grams: np.ndarray) -> np.ndarray:
@@ -46,14 +48,14 @@ def _vectors(grams: np.ndarray) -> np.ndarray:
     if missing:
         if len(_bound) + len(missing) > 24_000:
             _bound.clear()
-            _table = np.zeros((0, DIMS), np.float32)
+            _table = np.zeros((0, DIMS), np.int8)
             missing = keys
         points, at = np.unique(np.array(missing), return_inverse=True)
-        base, at = letter_vectors(points), at.reshape(-1, 3)
+        base, at = letter_vectors(points).astype(np.int8), at.reshape(-1, 3)
         made = np.roll(base, 2, axis=1)[at[:, 0]] * np.roll(base, 1, axis=1)[at[:, 1]] * base[at[:, 2]]
         _bound.update((x, len(_table) + k) for k, x in enumerate(missing))
         _table = np.concatenate([_table, made])
-    return _table[[_bound[g] for g in keys]]
+    return _table[[_bound[g] for g in keys]].astype(np.float32)
 
 
 def bundles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -81,11 +83,11 @@ def bundles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         grams, column = np.unique(pairs & low, return_inverse=True)
         row, one = (pairs >> U64(3) * bits).astype(np.int64), (U64(1) << bits) - U64(1)
         triples = np.stack([used[(grams >> U64(k) * bits & one).astype(np.int64)] for k in (2, 1, 0)], axis=1)
-        for i in range(0, len(grams), 12_000):  # a few at a time: a long text has many
-            here = (column >= i) & (column < i + 12_000)
-            weights = np.zeros((len(texts), min(12_000, len(grams) - i)), np.float32)
+        for i in range(0, len(grams), AT_ONCE):
+            here = (column >= i) & (column < i + AT_ONCE)
+            weights = np.zeros((len(texts), min(AT_ONCE, len(grams) - i)), np.float32)
             weights[row[here], column[here] - i] = counts[here]
-            out += weights @ _vectors(triples[i : i + 12_000])
+            out += weights @ _vectors(triples[i : i + AT_ONCE])
     norms = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.maximum(norms, 1e-12), np.bincount(owner[inside], minlength=len(texts)) > 0
 

@@ -708,6 +708,11 @@ def test_other_operators_ignore_further_columns(spark, clashing):
     assert html_text.extract(pages).count() == 1
 
 
+def test_vectors_of_trigrams_are_kept_as_bytes():
+    langid.bundles(["A text of some trigrams."])
+    assert len(langid._table) and langid._table.nbytes == langid.DIMS * len(langid._table)
+
+
 def test_bundles_equal_naive_binding():
     texts = ["Straße 7, été!", "日本語の文", "aaa", None, "12 !?", "ж ы"]
     vectors, has = langid.bundles(texts)
