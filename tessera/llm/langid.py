@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .columns import Given
-from .wordhash import U64, mix, slices
+from .wordhash import U64, gives_back, mix, slices
 
 #: Components of a vector; parts of one that sums of unit vectors are counted in; steps of a cosine that medians are told by.
 DIMS, UNIT, FINE = 1024, 1 << 30, 10_000
@@ -99,6 +99,7 @@ def _groups(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatc
             yield batch.slice(k, min(128, j - k))
 
 
+@gives_back
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of a task's unit vectors by language, as whole numbers of 1 / UNIT, so that their order is of no effect."""
     sums: dict[str, np.ndarray] = {}
@@ -132,6 +133,7 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     return langs, np.round(unit, 6).astype(np.float32)
 
 
+@gives_back
 def _beginnings(profiles: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many beginnings of 2 ** k characters have each cosine to their best profile, in steps of 1 / FINE."""
     for batch in batches:
@@ -164,6 +166,7 @@ def _least(least: dict[int, float], text: str | None) -> float:
     return least.get(min(letters.bit_length() - 1, EXPONENTS[-1]), -2.0)
 
 
+@gives_back
 def _predict(langs: list[str], profiles: np.ndarray, least: dict[int, float], text: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in _groups(batch, text):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .columns import Given
 from .links import distance, near_components
 from .scratch import Scratch
-from .wordhash import U64, mix, shingle_sets, slices
+from .wordhash import U64, gives_back, mix, shingle_sets, slices
 
 #: Symbols of a signature, bits of a symbol in a chunk's key, chunks, and symbols that a link may differ in.
 #: At similarity 0.8 a symbol differs with probability 0.2; more than 25 of 64 differ once in ten thousand pairs.
@@ -56,6 +56,7 @@ def packed(signatures: np.ndarray) -> np.ndarray:
     return (low << (np.arange(16, dtype=np.uint64) * U64(4))).sum(axis=2, dtype=np.uint64)
 
 
+@gives_back
 def _features(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j in slices(batch["text"]):
@@ -70,6 +71,7 @@ def _features(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
             )
 
 
+@gives_back
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 2000):
@@ -79,6 +81,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(part["node"].to_numpy(), keys.shape[1]))], names=["key", "node"])
 
 
+@gives_back
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         signatures = np.frombuffer(b"".join(batch["signature"].to_pylist()), np.uint16).reshape(-1, SYMBOLS)
@@ -87,6 +90,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["node"], lists], names=["node", "q"])
 
 
+@gives_back
 def _sets(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j in slices(batch["text"]):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .columns import Given
 from .scratch import Scratch
-from .wordhash import slices, utf8, words
+from .wordhash import gives_back, slices, utf8, words
 
 #: Words of a block, but a source has as many as LEAST blocks if it has the words; blocks of an output shard.
 BLOCK, LEAST, SHARD = 1024, 1024, 4096
@@ -193,6 +193,7 @@ class Mix:
         return cut.repartition("shard").sortWithinPartitions("shard", "place")
 
 
+@gives_back
 def _words(text: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j in slices(batch[text]):

@@ -14,6 +14,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .wordhash import gives_back
+
 #: Cost, in padding tokens, of a cut inside a document after a sentence, and of one within a sentence.
 SENTENCE_CUT, BROKEN_CUT = 4.0, 200.0
 #: Tokens that are planned together; a plan ends at the end of a document.
@@ -106,6 +108,7 @@ def window_cuts(ends: np.ndarray, documents: np.ndarray, width: int) -> list[int
     return cuts[::-1]
 
 
+@gives_back
 def _pack(width: int, names: tuple[str, str], separator: int, with_ids: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sequence = TaskContext.get().partitionId() << 33
     encode = encoder(*names)

@@ -6,7 +6,9 @@ on UTF-8 bytes as they do on code points, because every byte of a longer sequenc
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,25 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: list[np.ndarray] = []
 
 
+def gives_back(work: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """A function of batches at whose end the worker returns free memory to the system.
+
+    Spark keeps workers for the next task with Python, and meanwhile an executor's other tasks need the memory.
+    """
+
+    @wraps(work)
+    def worked(*given: object) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(*given)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+            if trim:
+                trim(0)
+
+    return worked
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits in which every input bit moves every output bit."""
     x = x ^ (x >> U64(30))

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tests.compare import duck, spark_rows
 
-from tessera.llm import html_text, langid, lattice, line_dedup, matroska, minhash, mix, pack, quality, queries, scratch
+from tessera.llm import html_text, langid, lattice, line_dedup, matroska, minhash, mix, pack, quality, queries, scratch, wordhash
 from tessera.llm.chat import format_chats
 from tessera.llm.links import near_components
 
@@ -713,6 +713,28 @@ def test_vectors_of_trigrams_are_kept_as_bytes():
     assert len(langid._table) and langid._table.nbytes == langid.DIMS * len(langid._table)
 
 
+def test_functions_of_batches_give_memory_back(monkeypatch):
+    released = []
+    pool = type("Pool", (), {"release_unused": lambda self: released.append(True)})()
+    monkeypatch.setattr(wordhash.pa, "default_memory_pool", lambda: pool)
+    batch = pa.RecordBatch.from_pydict({"text": ["one text", None], "lang": ["en", "en"]})
+    assert len(list(langid._profiles(iter([batch])))) == 1 and released == [True]
+    assert all(hasattr(f, "__wrapped__") for f in (langid._beginnings, langid._predict, minhash._features, minhash._keys, minhash._packed, minhash._sets, mix._words, pack._pack))
+
+
+def test_stages_hand_small_batches_to_python(spark, odd):
+    import corpus_pipeline
+
+    before = spark.conf.get(corpus_pipeline.BATCH_KEY)
+    try:
+        for given, held in (("10000", "1000"), ("0", "1000"), ("64", "64")):
+            spark.conf.set(corpus_pipeline.BATCH_KEY, given)
+            corpus_pipeline.packed_sequences(spark, odd, FOLDER)
+            assert spark.conf.get(corpus_pipeline.BATCH_KEY) == held
+    finally:
+        spark.conf.set(corpus_pipeline.BATCH_KEY, before)
+
+
 def test_bundles_equal_naive_binding():
     texts = ["Straße 7, été!", "日本語の文", "aaa", None, "12 !?", "ж ы"]
     vectors, has = langid.bundles(texts)
